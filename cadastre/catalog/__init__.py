@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ("scalar", "measures")
+GROUPS = ("scalar", "measures", "joins")
 
 
 def load() -> None:

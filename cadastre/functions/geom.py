@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 EARTH_RADIUS_M = 6371008.8
 SQM_PER_ACRE = 4046.8564224
@@ -34,6 +34,16 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed a single time per row.
+
+    Filters on a plain computed column are pushed below it together with a copy of its expression;
+    a generated one-row struct is not copied, so costly geometry is not evaluated again.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
 def edges(r: Column) -> Column:
     """Consecutive vertex pairs as structs (x1, y1, x2, y2)."""
     n = F.greatest(F.size(r) - 1, F.lit(0))
@@ -260,3 +270,50 @@ def intersection_area(ring_a: Column, ring_b: Column) -> Column:
         return let(edges(local(ring_b)), lambda eb: _sum(edges(local(ring_a)), lambda a: _sum(eb, lambda b: _under_both(a, b))))
 
     return F.abs(let(F.element_at(ring_a, 1), shared))
+
+
+def on_border(r_edges: Column, px, py, eps: float = 1e-6) -> Column:
+    return F.exists(r_edges, lambda e: point_segment_distance(px, py, e["x1"], e["y1"], e["x2"], e["y2"]) <= eps)
+
+
+def _inside(r_edges: Column, px, py) -> Column:
+    def crosses(e):
+        return ((e["y1"] > py) != (e["y2"] > py)) & (
+            px < (e["x2"] - e["x1"]) * (py - e["y1"]) / F.when(e["y2"] != e["y1"], e["y2"] - e["y1"]) + e["x1"]
+        )
+
+    return F.size(F.filter(r_edges, crosses)) % 2 == 1
+
+
+def rings_touch(ring_a: Column, ring_b: Column) -> Column:
+    """True when a vertex of one ring lies on the other's border."""
+
+    def touch(ea, eb):
+        return F.exists(eb, lambda e: on_border(ea, e["x1"], e["y1"])) | F.exists(ea, lambda e: on_border(eb, e["x1"], e["y1"]))
+
+    return let(edges(ring_a), lambda ea: let(edges(ring_b), lambda eb: touch(ea, eb)))
+
+
+def intersection_vertices(ring_a: Column, ring_b: Column, digits: int = 3) -> Column:
+    """Distinct corner points of the shared region: vertices inside or on the other ring, and crossings."""
+
+    def corner(x, y):
+        return point(js_round(x, digits), js_round(y, digits))
+
+    def corners(ea, eb):
+        def held(own, other):
+            kept = F.filter(own, lambda e: _inside(other, e["x1"], e["y1"]) | on_border(other, e["x1"], e["y1"]))
+            return F.transform(kept, lambda e: corner(e["x1"], e["y1"]))
+
+        def crossing(a, b):
+            dx1, dy1, dx2, dy2 = a["x2"] - a["x1"], a["y2"] - a["y1"], b["x2"] - b["x1"], b["y2"] - b["y1"]
+            denom = dx1 * dy2 - dy1 * dx2
+            t = ((b["x1"] - a["x1"]) * dy2 - (b["y1"] - a["y1"]) * dx2) / F.when(denom != 0, denom)
+            u = ((b["x1"] - a["x1"]) * dy1 - (b["y1"] - a["y1"]) * dx1) / F.when(denom != 0, denom)
+            meets = (t > 0) & (t < 1) & (u > 0) & (u < 1)
+            return F.when(meets, corner(a["x1"] + t * dx1, a["y1"] + t * dy1))
+
+        met = F.flatten(F.transform(ea, lambda a: F.transform(eb, lambda b: crossing(a, b))))
+        return F.array_distinct(F.concat(held(ea, eb), held(eb, ea), F.filter(met, lambda p: p.isNotNull())))
+
+    return let(edges(ring_a), lambda ea: let(edges(ring_b), lambda eb: corners(ea, eb)))

@@ -35,8 +35,7 @@ def working_geometry(parcels: DataFrame, imagery: DataFrame) -> DataFrame:
     out = geo_project(parcels, imagery.drop("is_georeferenced"), "ring")
     geo = F.col("is_georeferenced")
     out = out.withColumn("mode", F.when(geo, "geographic").otherwise("image"))
-    out = out.withColumn("ring", F.when(geo, F.col("geo_ring")).otherwise(F.col("ring"))).drop("geo_ring")
-    return out
+    return G.once(out, ring=F.when(geo, F.col("geo_ring")).otherwise(F.col("ring"))).drop("geo_ring")
 
 
 def plane_ring(r: Column) -> Column:
@@ -76,24 +75,24 @@ def repair_rings(parcels: DataFrame) -> DataFrame:
             F.when(was_open, F.concat(kept, F.array(F.element_at(kept, 1)))).otherwise(kept).alias("clean"),
         )
 
-    fixed = parcels.withColumn("fix", G.let(G.drop_repeats(F.col("ring"), EPS), repaired))
-    return fixed.select("*", "fix.*").drop("fix")
+    return parcels.select("*", F.inline(F.array(G.let(G.drop_repeats(F.col("ring"), EPS), repaired))))
 
 
 def shape_facts(parcels: DataFrame) -> DataFrame:
     """Every measure the validity and sliver rules need, computed once per parcel."""
     r, clean = F.col("ring"), F.col("clean")
-    out = repair_rings(parcels)
-    return (
-        out.withColumn("vertex_count", F.size(clean))
-        .withColumn("finite", F.forall(r, lambda p: ~F.isnan(p["x"]) & ~F.isnan(p["y"]) & (F.abs(p["x"]) < 1e300) & (F.abs(p["y"]) < 1e300)))
-        .withColumn("kinks", G.self_intersections(clean))
-        .withColumn("clean_area", ring_area(clean))
-        .withColumn("clean_length", ring_length(clean))
-        .withColumn("raw_area", ring_area(r))
-        .withColumn("raw_length", ring_length(r))
-        .withColumn("clean_compactness", G.compactness(F.col("clean_area"), F.col("clean_length")))
-        .withColumn("raw_compactness", G.compactness(F.col("raw_area"), F.col("raw_length")))
+    out = G.once(
+        repair_rings(parcels),
+        vertex_count=F.size(clean),
+        finite=F.forall(r, lambda p: ~F.isnan(p["x"]) & ~F.isnan(p["y"]) & (F.abs(p["x"]) < 1e300) & (F.abs(p["y"]) < 1e300)),
+        kinks=G.self_intersections(clean),
+        clean_area=ring_area(clean),
+        clean_length=ring_length(clean),
+        raw_area=ring_area(r),
+        raw_length=ring_length(r),
+    )
+    return out.withColumn("clean_compactness", G.compactness(F.col("clean_area"), F.col("clean_length"))).withColumn(
+        "raw_compactness", G.compactness(F.col("raw_area"), F.col("raw_length"))
     )
 
 
@@ -131,7 +130,7 @@ def validate(facts: DataFrame) -> DataFrame:
         (sound & (area > 0.0001) & (area < small), small_text),
         (sound & (area >= small) & (F.col("clean_compactness") < VALID_COMPACTNESS), F.lit("High perimeter-to-area ratio (elongated sliver).")),
     )
-    return facts.withColumn("errors", errors).withColumn("warnings", warnings).withColumn("valid", F.size("errors") == 0)
+    return G.once(facts, errors=errors, warnings=warnings).withColumn("valid", F.size("errors") == 0)
 
 
 def is_sliver() -> Column:
@@ -230,4 +229,5 @@ MAX_TURN_DEGREES = 95.0
 
 
 def erratic_lines(features: DataFrame) -> DataFrame:
-    return features.where(F.col("is_line")).withColumn("turn", sharpest_turn(F.col("pts"))).where(F.col("turn") > MAX_TURN_DEGREES)
+    turns = G.once(features.where(F.col("is_line")), turn=sharpest_turn(F.col("pts")))
+    return turns.where(F.col("turn") > MAX_TURN_DEGREES)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cadastre.functions.geom import ring
+from cadastre.functions.geom import once, ring
 
 IMAGE_WIDTH, IMAGE_HEIGHT = 4000, 3000
 
@@ -17,6 +17,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str, key: str, columns: list[str]) -> DataFrame:
+    """A scan with at least one partition per core.
+
+    Large tables have enough splits and are read as they are; only a table smaller than the cluster
+    (one file, one split) is hashed over the cores, because the geometry that follows is CPU work.
+    """
+    df = table(spark, folder, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+ORDER_FIELDS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"]
+LINE_FIELDS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate"]
+
+
 def projects(spark: SparkSession, folder: str) -> DataFrame:
     """One project per region."""
     return table(spark, folder, "region").selectExpr(
@@ -71,7 +86,7 @@ PARCEL_COLUMNS = (
 def parcels(spark: SparkSession, folder: str) -> DataFrame:
     """Parcels with their image-space ring; bow-tie, open and duplicate-vertex rings included."""
     base = (
-        table(spark, folder, "orders").alias("o")
+        spread_table(spark, folder, "orders", "o_orderkey", ORDER_FIELDS).alias("o")
         .join(table(spark, folder, "customer").alias("c"), F.expr("o.o_custkey = c.c_custkey"))
         .join(table(spark, folder, "nation").alias("n"), F.expr("c.c_nationkey = n.n_nationkey"))
         .selectExpr(*PARCEL_COLUMNS)
@@ -79,9 +94,9 @@ def parcels(spark: SparkSession, folder: str) -> DataFrame:
     x0, y0, w, h = (F.col(c) for c in ("x0", "y0", "w", "h"))
     a, b, c, d = (x0, y0), (x0 + w, y0), (x0 + w, y0 + h), (x0 + 5, y0 + h)
     shape = F.col("shape")
-    return base.withColumn(
-        "ring",
-        F.when(shape == "bowtie", ring(a, b, (x0, y0 + h), (x0 + w, y0 + h), a))
+    return once(
+        base,
+        ring=F.when(shape == "bowtie", ring(a, b, (x0, y0 + h), (x0 + w, y0 + h), a))
         .when(shape == "open", ring(a, b, c, d))
         .when(shape == "dupvertex", ring(a, b, b, c, d, a))
         .otherwise(ring(a, b, c, d, a)),
@@ -110,11 +125,11 @@ LINE_TYPES = ("ROAD", "WALL", "FENCE")
 
 def features(spark: SparkSession, folder: str) -> DataFrame:
     """Detections: boxes for area classes, three-point polylines for roads, walls and fences."""
-    base = table(spark, folder, "lineitem").selectExpr(*FEATURE_COLUMNS)
+    base = spread_table(spark, folder, "lineitem", "l_orderkey", LINE_FIELDS).selectExpr(*FEATURE_COLUMNS)
     x, y, w, h = (F.col(c) for c in ("fx", "fy", "fw", "fh"))
-    return base.withColumn(
-        "pts",
-        F.when(F.col("detection_type").isin(*LINE_TYPES), ring((x, y), (x + w, y), (x + w, y + h))).otherwise(
+    return once(
+        base,
+        pts=F.when(F.col("detection_type").isin(*LINE_TYPES), ring((x, y), (x + w, y), (x + w, y + h))).otherwise(
             ring((x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y))
         ),
     ).withColumn("is_line", F.col("detection_type").isin(*LINE_TYPES))
@@ -167,7 +182,7 @@ def palette_channel(kind: Column, channel: int) -> Column:
 
 def pixels(spark: SparkSession, folder: str) -> DataFrame:
     """Pixel rows: every order key is one image row of 64 pixels, 48 rows make an image."""
-    rows = table(spark, folder, "orders").selectExpr(
+    rows = spread_table(spark, folder, "orders", "o_orderkey", ["o_orderkey", "o_custkey"]).selectExpr(
         f"o_orderkey DIV {TILE_HEIGHT} AS imagery_id", f"CAST(o_orderkey % {TILE_HEIGHT} AS INT) AS y", "o_custkey"
     )
     px = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(TILE_WIDTH - 1))))
