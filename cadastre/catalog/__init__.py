@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ("scalar", "measures", "joins")
+GROUPS = ("scalar", "measures", "joins", "audit", "store")
 
 
 def load() -> None:

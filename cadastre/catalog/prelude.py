@@ -126,6 +126,16 @@ CTE["uploads"] = """SELECT o_orderkey AS upload_id, CAST(o_custkey%5 AS INT) AS
   CASE WHEN o_orderkey%3=0 THEN CAST(1000+o_orderkey%5000 AS INT) END AS width,
   CASE WHEN o_orderkey%3=0 THEN CAST(800+o_orderkey%4000 AS INT) END AS height, o_orderdate AS uploaded_at FROM orders"""
 
+CTE["activities"] = """SELECT e.event_id AS activity_id, p.project_id, e.action AS type, e.ts FROM events_fx e JOIN parcels p USING (parcel_id)"""
+CTE["jobs"] = """SELECT o_orderkey AS job_id, CAST(o_custkey%5 AS INT) AS project_id, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'PROCESSING' ELSE 'FAILED' END AS status,
+  CASE o_orderstatus WHEN 'O' THEN 20 ELSE 100 END AS progress, o_orderdate AS started_at FROM orders"""
+CTE["plots"] = """SELECT o_orderkey AS plot_id, o_orderkey||CASE WHEN o_orderkey%10=4 THEN 'A' ELSE '' END AS plot_no, (o_orderkey%97)||'/'||(o_orderkey%7) AS survey_no, c_name AS owner,
+  'Village '||(o_orderkey%23) AS village, CASE o_orderpriority WHEN '1-URGENT' THEN 'Commercial' WHEN '2-HIGH' THEN 'Residential' WHEN '3-MEDIUM' THEN 'Agricultural' WHEN '4-NOT SPECIFIED' THEN 'Government' ELSE 'Industrial' END AS land_type,
+  CASE o_orderstatus WHEN 'F' THEN 'Clear Title' WHEN 'O' THEN 'Under Survey' ELSE 'Disputed' END AS title_status, (o_orderkey*13%500+20)/100e0 AS area_acre FROM orders JOIN customer ON o_custkey=c_custkey"""
+CTE["rejections"] = """SELECT feature_id AS item_id, imagery_id, lower(detection_type) AS feature_class, CASE fw%11 WHEN 0 THEN 'Water crossing' WHEN 1 THEN 'Unsupported line' WHEN 2 THEN 'Image-edge artifact'
+  WHEN 3 THEN 'Insufficient continuity' WHEN 4 THEN 'Invalid geometry' WHEN 5 THEN 'Duplicate geometry' WHEN 6 THEN 'Weak evidence' WHEN 7 THEN 'Excessive size' WHEN 8 THEN 'Disconnected feature' WHEN 9 THEN 'Other cause' END AS category,
+  confidence AS score FROM features WHERE NOT is_valid"""
+
 _KIND = "(x//8*7+y//8*5+imagery_id*3+x//24)%8"
 
 
@@ -141,13 +151,14 @@ FROM (SELECT o_orderkey//48 AS imagery_id, CAST(o_orderkey%48 AS INT) AS y, o_cu
 CROSS JOIN (SELECT CAST(range AS INT) AS x FROM range(0, 64)) k"""
 
 NEEDS = {
+    "activities": ["parcels", "events_fx"], "rejections": ["features"],
     "wv": ["vertices", "rvertices", "imagery"], "wedges": ["wv"], "sizes": ["wedges"], "crossings": ["wedges"],
     "facts": ["sizes", "crossings"], "slivers": ["facts"],
     "vertices": ["parcels"], "edges": ["vertices"], "rvertices": ["vertices"], "redges": ["rvertices"],
     "fvertices": ["features"], "fedges": ["features"],
 }
 ORDER = ["projects", "imagery", "parcels", "vertices", "edges", "rvertices", "redges", "wv", "wedges", "sizes", "crossings", "facts", "slivers", "features", "fvertices",
-         "fedges", "events_fx", "uploads", "pixels"]
+         "fedges", "events_fx", "uploads", "activities", "jobs", "plots", "rejections", "pixels"]
 
 
 def sql(*tables: str, body: str, recursive: bool = False) -> str:

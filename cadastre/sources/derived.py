@@ -194,3 +194,60 @@ def pixels(spark: SparkSession, folder: str) -> DataFrame:
         "y",
         *[(palette_channel(kind, ch) + noise * (ch + 1) % 13).alias(n) for ch, n in enumerate("rgb")],
     )
+
+
+def versions(spark: SparkSession, folder: str) -> DataFrame:
+    """Review events numbered as parcel versions."""
+    from cadastre.operators.history import number_events
+
+    return number_events(events(spark, folder), ["value"])
+
+
+def reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """Verifications with a reviewer and comments."""
+    return events(spark, folder).selectExpr("*", "concat('Surveyor ', event_id % 7) AS reviewer_name", "concat('Note on ', event_type) AS comments")
+
+
+def activities(spark: SparkSession, folder: str) -> DataFrame:
+    """Audit events of the projects their parcels belong to."""
+    mine = parcels(spark, folder).select("parcel_id", "project_id")
+    return events(spark, folder).join(mine, "parcel_id").selectExpr("event_id AS activity_id", "project_id", "action AS type", "ts")
+
+
+def jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """Processing jobs: one per order."""
+    return table(spark, folder, "orders").selectExpr(
+        "o_orderkey AS job_id",
+        "CAST(o_custkey % 5 AS INT) AS project_id",
+        "CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'PROCESSING' ELSE 'FAILED' END AS status",
+        "CASE o_orderstatus WHEN 'O' THEN 20 ELSE 100 END AS progress",
+        "o_orderdate AS started_at",
+    )
+
+
+def plots(spark: SparkSession, folder: str) -> DataFrame:
+    """Cadastral plots: one per order, owned by its customer."""
+    o = table(spark, folder, "orders").alias("o").join(table(spark, folder, "customer").alias("c"), F.expr("o_custkey = c_custkey"))
+    return o.selectExpr(
+        "o_orderkey AS plot_id",
+        "concat(o_orderkey, CASE WHEN o_orderkey % 10 = 4 THEN 'A' ELSE '' END) AS plot_no",
+        "concat(o_orderkey % 97, '/', o_orderkey % 7) AS survey_no",
+        "c_name AS owner",
+        "concat('Village ', o_orderkey % 23) AS village",
+        "CASE o_orderpriority WHEN '1-URGENT' THEN 'Commercial' WHEN '2-HIGH' THEN 'Residential' WHEN '3-MEDIUM' THEN 'Agricultural' "
+        "WHEN '4-NOT SPECIFIED' THEN 'Government' ELSE 'Industrial' END AS land_type",
+        "CASE o_orderstatus WHEN 'F' THEN 'Clear Title' WHEN 'O' THEN 'Under Survey' ELSE 'Disputed' END AS title_status",
+        "(o_orderkey * 13 % 500 + 20) / 100e0 AS area_acre",
+    )
+
+
+def rejections(spark: SparkSession, folder: str) -> DataFrame:
+    """Rejected detections with a diagnostic category; some categories are unknown or missing."""
+    from cadastre.operators.reports import REJECTION_CATEGORIES
+
+    names = F.array(*[F.lit(c) for c in (*REJECTION_CATEGORIES, "Other cause")])
+    k = F.col("fw") % 11
+    return features(spark, folder).where("NOT is_valid").select(
+        F.col("feature_id").alias("item_id"), "imagery_id", F.lower("detection_type").alias("feature_class"),
+        F.when(k < 10, F.element_at(names, (k + 1).cast("int"))).alias("category"), F.col("confidence").alias("score"),
+    )
