@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ("scalar", "measures", "joins", "audit", "store")
+GROUPS = ("scalar", "measures", "joins", "audit", "store", "detect")
 
 
 def load() -> None:
