@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ("scalar", "measures", "joins", "audit", "store", "detect")
+GROUPS = ("scalar", "measures", "joins", "audit", "store", "detect", "infer")
 
 
 def load() -> None:

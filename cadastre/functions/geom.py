@@ -317,3 +317,42 @@ def intersection_vertices(ring_a: Column, ring_b: Column, digits: int = 3) -> Co
         return F.array_distinct(F.concat(held(ea, eb), held(eb, ea), F.filter(met, lambda p: p.isNotNull())))
 
     return let(edges(ring_a), lambda ea: let(edges(ring_b), lambda eb: corners(ea, eb)))
+
+
+def project_on_path(path: Column, x, y) -> Column:
+    """Nearest position on a polyline: struct (distance, segment, t, x, y); the earliest segment wins ties."""
+
+    def on_edge(e, i):
+        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        l2 = dx * dx + dy * dy
+        t = F.when(l2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - e["x1"]) * dx + (y - e["y1"]) * dy) / F.when(l2 > 0, l2)))).otherwise(0.0)
+        px, py = e["x1"] + t * dx, e["y1"] + t * dy
+        return F.struct(F.hypot(x - px, y - py).alias("distance"), i.alias("segment"), t.alias("t"), px.alias("x"), py.alias("y"))
+
+    return F.array_min(F.transform(edges(path), on_edge))
+
+
+def segments_meet(a: Column, b: Column) -> Column:
+    """Closed intersection test of two edges: crossing, touching or overlapping."""
+    apart = (
+        (F.greatest(a["x1"], a["x2"]) < F.least(b["x1"], b["x2"])) | (F.greatest(b["x1"], b["x2"]) < F.least(a["x1"], a["x2"]))
+        | (F.greatest(a["y1"], a["y2"]) < F.least(b["y1"], b["y2"])) | (F.greatest(b["y1"], b["y2"]) < F.least(a["y1"], a["y2"]))
+    )
+
+    def turn(e, x, y):
+        return F.signum((e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"]))
+
+    split_b = turn(a, b["x1"], b["y1"]) * turn(a, b["x2"], b["y2"]) <= 0
+    split_a = turn(b, a["x1"], a["y1"]) * turn(b, a["x2"], a["y2"]) <= 0
+    return ~apart & split_a & split_b
+
+
+def rings_meet(ring_a: Column, ring_b: Column) -> Column:
+    """True when two rings share any point, inside included."""
+
+    def meet(ea, eb):
+        fa, fb = F.element_at(ea, 1), F.element_at(eb, 1)
+        border = F.exists(ea, lambda a: F.exists(eb, lambda b: segments_meet(a, b)))
+        return border | _inside(eb, fa["x1"], fa["y1"]) | _inside(ea, fb["x1"], fb["y1"])
+
+    return let(edges(ring_a), lambda ea: let(edges(ring_b), lambda eb: meet(ea, eb)))

@@ -10,6 +10,7 @@ from cadastre.functions import canonical as C, geom as G, rings as S
 from cadastre.operators import history as H, joins as J
 from cadastre.operators.grid import near, overlapping_boxes
 from cadastre.operators.rounds import components, greedy_dropped, keep_strongest_copies
+from cadastre.session import cut_lineage
 from cadastre.sources.derived import IMAGE_HEIGHT, IMAGE_WIDTH
 
 # fixed values: simplification tolerance per class
@@ -125,7 +126,7 @@ def merge_collinear(lines: DataFrame) -> DataFrame:
     targets = J.as_points_box(place.withColumnRenamed("holder", "other"))
     close = near(place, targets, ["imagery_id", "detection_type"], (F.col("holder") > F.col("other")) & (J.point_distance() <= limit[F.col("detection_type")]), reach=reach)
     links = same.unionByName(close.select(F.col("holder").alias("u"), F.col("other").alias("v")))
-    labels = components(links)
+    labels = cut_lineage(components(links))
     x, y = S.xy(F.col("pts"))
     grouped = lines.join(labels.withColumnRenamed("id", "feature_id"), "feature_id", "left").select(
         "imagery_id", "detection_type", F.coalesce("component", "feature_id").alias("component"), "feature_id", x.alias("xs"), y.alias("ys")
@@ -141,8 +142,8 @@ def merge_collinear(lines: DataFrame) -> DataFrame:
             }
         )
 
-    alone = grouped.join(labels.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"), "component", "left_anti")
-    joined = grouped.join(labels.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"), "component", "left_semi")
+    crowded = labels.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    alone, joined = grouped.join(crowded, "component", "left_anti"), grouped.join(crowded, "component", "left_semi")
     schema = "imagery_id int, detection_type string, feature_id long, merged_ids array<long>, " + S.XY
     merged = joined.groupBy("component", "detection_type").applyInPandas(run, schema)
     single = alone.select("imagery_id", "detection_type", "feature_id", F.array("feature_id").alias("merged_ids"), "xs", "ys")
@@ -377,9 +378,10 @@ def clean_features(features: DataFrame) -> DataFrame:
     """The whole cleaning chain over all images and classes."""
     f = fix_rings(simplify(remove_tiny(remove_noise(features))))
     line = F.col("is_line")
+    f = cut_lineage(f.select("imagery_id", "detection_type", "feature_id", "pts", "is_line"))
     merged = merge_collinear(f.where(line)).select("imagery_id", "detection_type", "feature_id", "pts").withColumn("is_line", F.lit(True))
     areas = f.where(~line).select("imagery_id", "detection_type", "feature_id", "pts", "is_line")
-    deduped = dedupe_centroids(merged.unionByName(areas))
+    deduped = dedupe_centroids(cut_lineage(merged.unionByName(areas)))
     facts = G.once(
         deduped, bb=G.bbox(F.col("pts")), area=F.when(line, 0.0).otherwise(G.planar_area(F.col("pts"))), length=F.when(line, G.planar_length(F.col("pts"))).otherwise(0.0),
         longest_edge=F.array_max(F.transform(G.edges(F.col("pts")), lambda e: F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"]))),
