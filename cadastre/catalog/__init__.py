@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ("scalar", "measures", "joins", "audit", "store", "detect", "infer")
+GROUPS = ("scalar", "measures", "joins", "audit", "store", "detect", "infer", "raster")
 
 
 def load() -> None:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cadastre.functions import canonical as C, geom as G, rings as S
 from cadastre.operators import history as H, joins as J
 from cadastre.operators.grid import near, overlapping_boxes
+from cadastre.operators.groups import map_groups
 from cadastre.operators.rounds import components, greedy_dropped, keep_strongest_copies
 from cadastre.session import cut_lineage
 from cadastre.sources.derived import IMAGE_HEIGHT, IMAGE_WIDTH
@@ -60,14 +60,14 @@ def fix_rings(features: DataFrame, eps: float = 0.5) -> DataFrame:
 MERGE_LIMITS = {"ROAD": (32.0, 25.0), "WALL": (22.0, 25.0), "FENCE": (22.0, 25.0)}
 
 
-def chain_lines(pdf: pd.DataFrame, max_gap: float, max_angle: float) -> list[tuple[list[int], np.ndarray]]:
+def chain_lines(feature_ids, xs, ys, max_gap: float, max_angle: float) -> list[tuple[list[int], np.ndarray]]:
     """Join lines of one component in id order until no pair qualifies.
 
     Only pairs with the line that just grew can newly qualify, so each join costs one vector scan.
     """
-    pdf = pdf.sort_values("feature_id")
-    ids = [[i] for i in pdf.feature_id]
-    paths = [np.column_stack([x, y]) for x, y in zip(pdf["xs"], pdf["ys"])]
+    order = np.argsort(feature_ids)
+    ids = [[int(feature_ids[k])] for k in order]
+    paths = [np.column_stack([xs[k], ys[k]]) for k in order]
     heads, tails = np.array([p[0] for p in paths]), np.array([p[-1] for p in paths])
     alive = np.ones(len(paths), dtype=bool)
 
@@ -132,20 +132,15 @@ def merge_collinear(lines: DataFrame) -> DataFrame:
         "imagery_id", "detection_type", F.coalesce("component", "feature_id").alias("component"), "feature_id", x.alias("xs"), y.alias("ys")
     )
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        gap, angle = MERGE_LIMITS[pdf.detection_type.iloc[0]]
-        out = chain_lines(pdf, gap, angle)
-        return pd.DataFrame(
-            {
-                "imagery_id": pdf.imagery_id.iloc[0], "detection_type": pdf.detection_type.iloc[0], "feature_id": [min(i) for i, _ in out],
-                "merged_ids": [sorted(i) for i, _ in out], "xs": [p[:, 0] for _, p in out], "ys": [p[:, 1] for _, p in out],
-            }
-        )
+    def run(g):
+        gap, angle = MERGE_LIMITS[g["detection_type"][0]]
+        for ids, path in chain_lines(g["feature_id"], g["xs"], g["ys"], gap, angle):
+            yield g["imagery_id"][0], g["detection_type"][0], min(ids), sorted(ids), path[:, 0], path[:, 1]
 
     crowded = labels.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
     alone, joined = grouped.join(crowded, "component", "left_anti"), grouped.join(crowded, "component", "left_semi")
     schema = "imagery_id int, detection_type string, feature_id long, merged_ids array<long>, " + S.XY
-    merged = joined.groupBy("component", "detection_type").applyInPandas(run, schema)
+    merged = map_groups(joined, ["component", "detection_type"], run, schema)
     single = alone.select("imagery_id", "detection_type", "feature_id", F.array("feature_id").alias("merged_ids"), "xs", "ys")
     return merged.unionByName(single).withColumn("pts", S.to_ring(F.struct("xs", "ys"))).drop("xs", "ys")
 
