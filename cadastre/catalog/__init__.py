@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ("scalar", "measures", "joins", "audit", "store", "detect", "infer", "raster")
+GROUPS = ("scalar", "measures", "joins", "audit", "store", "detect", "infer", "raster", "streams")
 
 
 def load() -> None:

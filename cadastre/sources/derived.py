@@ -149,8 +149,12 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def uploads(spark: SparkSession, folder: str) -> DataFrame:
+    return upload_rows(table(spark, folder, "orders"))
+
+
+def upload_rows(orders: DataFrame) -> DataFrame:
     """Raw upload records (one per order): the intake side of the imagery catalogue."""
-    return table(spark, folder, "orders").selectExpr(
+    return orders.selectExpr(
         "o_orderkey AS upload_id",
         "CAST(o_custkey % 5 AS INT) AS project_id",
         "concat('Flight_', o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '.TIF' WHEN 1 THEN '.tiff' "
