@@ -138,6 +138,9 @@ def lineage(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             )
         )
         if state.where("moved").isEmpty():
+            with_parent = edges.where(F.col("parent_parcel_id").isNotNull()).select(F.col("parcel_id").alias("root_id"))
+            if not state.join(with_parent, "root_id", "left_semi").isEmpty():
+                break
             children = edges.where(F.col("parent_parcel_id").isNotNull()).groupBy(F.col("parent_parcel_id").alias("parcel_id")).agg(F.count("*").alias("n_children"))
             return state.drop("moved").join(children, "parcel_id", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
         state = state.drop("moved")
