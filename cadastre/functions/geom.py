@@ -233,26 +233,37 @@ def contains_point(r: Column, px, py) -> Column:
     return F.size(F.filter(edges(r), crosses)) % 2 == 1
 
 
+def _strips(r: Column) -> Column:
+    """Non-vertical edges as the line over [lo, hi] with the sign of their direction."""
+
+    def strip(e):
+        dx = e["x2"] - e["x1"]
+        return F.struct(
+            F.least(e["x1"], e["x2"]).alias("lo"), F.greatest(e["x1"], e["x2"]).alias("hi"), F.when(dx > 0, e["y1"]).otherwise(e["y2"]).alias("y"),
+            ((e["y2"] - e["y1"]) / F.when(dx != 0, dx)).alias("slope"), F.signum(dx).alias("sign"),
+        )
+
+    return F.transform(F.filter(edges(r), lambda e: e["x1"] != e["x2"]), strip)
+
+
 def _under_both(a: Column, b: Column) -> Column:
-    """Signed area below both edges over their common x-range."""
-    sign = F.signum(a["x2"] - a["x1"]) * F.signum(b["x2"] - b["x1"])
-    left = F.greatest(F.least(a["x1"], a["x2"]), F.least(b["x1"], b["x2"]))
-    right = F.least(F.greatest(a["x1"], a["x2"]), F.greatest(b["x1"], b["x2"]))
-
-    def height(e, x):
-        return e["y1"] + (x - e["x1"]) * (e["y2"] - e["y1"]) / F.when(e["x2"] != e["x1"], e["x2"] - e["x1"])
-
-    al, ar, bl, br = height(a, left), height(a, right), height(b, left), height(b, right)
-    dl, dr = al - bl, ar - br
-    width = right - left
-    split = dl / F.when(dl != dr, dl - dr)
-    mid = al + (ar - al) * split
-    crossed = F.when(dl < 0, (al + mid) * split + (mid + br) * (1.0 - split)).otherwise(
-        (bl + mid) * split + (mid + ar) * (1.0 - split)
+    """Signed area below both strips over their common x-range."""
+    lo, hi = F.greatest(a["lo"], b["lo"]), F.least(a["hi"], b["hi"])
+
+    def area(h):
+        dl, dr = h["al"] - h["bl"], h["ar"] - h["br"]
+        split = dl / (dl - dr)
+        mid = h["al"] + (h["ar"] - h["al"]) * split
+        crossed = F.when(dl < 0, (h["al"] + mid) * split + (mid + h["br"]) * (1.0 - split)).otherwise(
+            (h["bl"] + mid) * split + (mid + h["ar"]) * (1.0 - split)
+        )
+        return h["width"] * F.when(dl * dr < 0, crossed).otherwise(F.least(h["al"], h["bl"]) + F.least(h["ar"], h["br"]))
+
+    heights = F.struct(
+        (hi - lo).alias("width"), (a["y"] + (lo - a["lo"]) * a["slope"]).alias("al"), (a["y"] + (hi - a["lo"]) * a["slope"]).alias("ar"),
+        (b["y"] + (lo - b["lo"]) * b["slope"]).alias("bl"), (b["y"] + (hi - b["lo"]) * b["slope"]).alias("br"),
     )
-    plain = F.least(al, bl) + F.least(ar, br)
-    lower = F.when(dl * dr < 0, crossed).otherwise(plain)
-    return F.when((width > 0) & (sign != 0), sign * width * lower / 2.0).otherwise(F.lit(0.0))
+    return F.when(hi > lo, a["sign"] * b["sign"] / 2.0 * let(heights, area)).otherwise(0.0)
 
 
 def intersection_area(ring_a: Column, ring_b: Column) -> Column:
@@ -267,13 +278,24 @@ def intersection_area(ring_a: Column, ring_b: Column) -> Column:
         def local(r):
             return F.transform(r, lambda p: point(p["x"] - first["x"], p["y"] - first["y"]))
 
-        return let(edges(local(ring_b)), lambda eb: _sum(edges(local(ring_a)), lambda a: _sum(eb, lambda b: _under_both(a, b))))
+        return let(_strips(local(ring_b)), lambda sb: _sum(_strips(local(ring_a)), lambda a: _sum(sb, lambda b: _under_both(a, b))))
 
     return F.abs(let(F.element_at(ring_a, 1), shared))
 
 
 def on_border(r_edges: Column, px, py, eps: float = 1e-6) -> Column:
-    return F.exists(r_edges, lambda e: point_segment_distance(px, py, e["x1"], e["y1"], e["x2"], e["y2"]) <= eps)
+    """Within ``eps`` of an edge: a box test first, then the distance to the edge's line."""
+
+    def close(e):
+        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        cross = dx * (py - e["y1"]) - dy * (px - e["x1"])
+        return (
+            (px >= F.least(e["x1"], e["x2"]) - eps) & (px <= F.greatest(e["x1"], e["x2"]) + eps)
+            & (py >= F.least(e["y1"], e["y2"]) - eps) & (py <= F.greatest(e["y1"], e["y2"]) + eps)
+            & (cross * cross <= (dx * dx + dy * dy) * (eps * eps))
+        )
+
+    return F.exists(r_edges, close)
 
 
 def _inside(r_edges: Column, px, py) -> Column:
@@ -306,12 +328,24 @@ def intersection_vertices(ring_a: Column, ring_b: Column, digits: int = 3) -> Co
             return F.transform(kept, lambda e: corner(e["x1"], e["y1"]))
 
         def crossing(a, b):
+            def meet(v):
+                t = (v["ox"] * v["dy2"] - v["oy"] * v["dx2"]) / v["denom"]
+                return corner(a["x1"] + t * v["dx1"], a["y1"] + t * v["dy1"])
+
             dx1, dy1, dx2, dy2 = a["x2"] - a["x1"], a["y2"] - a["y1"], b["x2"] - b["x1"], b["y2"] - b["y1"]
-            denom = dx1 * dy2 - dy1 * dx2
-            t = ((b["x1"] - a["x1"]) * dy2 - (b["y1"] - a["y1"]) * dx2) / F.when(denom != 0, denom)
-            u = ((b["x1"] - a["x1"]) * dy1 - (b["y1"] - a["y1"]) * dx1) / F.when(denom != 0, denom)
-            meets = (t > 0) & (t < 1) & (u > 0) & (u < 1)
-            return F.when(meets, corner(a["x1"] + t * dx1, a["y1"] + t * dy1))
+            ox, oy = b["x1"] - a["x1"], b["y1"] - a["y1"]
+            v = F.struct(
+                dx1.alias("dx1"), dy1.alias("dy1"), dx2.alias("dx2"), dy2.alias("dy2"), ox.alias("ox"), oy.alias("oy"), (dx1 * dy2 - dy1 * dx2).alias("denom")
+            )
+
+            def inner(n, d):
+                return (n * d > 0) & (F.abs(n) < F.abs(d))
+
+            def strict(v):
+                hit = inner(v["ox"] * v["dy2"] - v["oy"] * v["dx2"], v["denom"]) & inner(v["ox"] * v["dy1"] - v["oy"] * v["dx1"], v["denom"])
+                return F.when(hit, meet(v))
+
+            return let(v, strict)
 
         met = F.flatten(F.transform(ea, lambda a: F.transform(eb, lambda b: crossing(a, b))))
         return F.array_distinct(F.concat(held(ea, eb), held(eb, ea), F.filter(met, lambda p: p.isNotNull())))

@@ -95,15 +95,23 @@ def near(
     """
     cell = cell or max(4 * reach, 64.0)
     bb = F.col("bb")
-    t = explode_cells(targets, bb["xmin"], bb["ymin"], bb["xmax"], bb["ymax"], cell, reach).drop("bb")
+    if how in ("left_semi", "left_anti"):
+        # copies of a target cannot change whether one is near, so they are folded before the copying
+        targets = targets.distinct()
+    t = explode_cells(targets, bb["xmin"], bb["ymin"], bb["xmax"], bb["ymax"], cell, reach)
+    edges = ("xmin", "ymin", "xmax", "ymax")
+    t = t.withColumns({f"t_{e}": bb[e] for e in edges}).drop("bb")
     p = point_cells(points, F.col("px"), F.col("py"), cell)
     keys = [*scope, "cx", "cy"]
     t = t.select(*[F.col(c).alias(f"t_{c}") for c in keys], *[c for c in t.columns if c not in keys])
-    on = condition
+    # a cheap box test spares most of the exact tests within a cell
+    px, py = F.col("px"), F.col("py")
+    boxed = (px >= F.col("t_xmin") - reach) & (px <= F.col("t_xmax") + reach) & (py >= F.col("t_ymin") - reach) & (py <= F.col("t_ymax") + reach)
+    on = boxed & condition
     for k in keys:
         on = (F.col(k) == F.col(f"t_{k}")) & on
     joined = p.join(t, on, how)
-    return joined.drop("cx", "cy", *[f"t_{k}" for k in keys])
+    return joined.drop("cx", "cy", *[f"t_{k}" for k in (*keys, *edges)])
 
 
 def segments(df: DataFrame, path: str = "pts") -> DataFrame:

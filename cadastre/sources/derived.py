@@ -190,14 +190,9 @@ def pixels(spark: SparkSession, folder: str) -> DataFrame:
         f"o_orderkey DIV {TILE_HEIGHT} AS imagery_id", f"CAST(o_orderkey % {TILE_HEIGHT} AS INT) AS y", "o_custkey"
     )
     px = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(TILE_WIDTH - 1))))
-    kind = F.expr(PIXEL_KIND)
-    noise = F.expr("CAST((x*7 + y*3 + o_custkey*11) % 13 AS INT)")
-    return px.select(
-        "imagery_id",
-        "x",
-        "y",
-        *[(palette_channel(kind, ch) + noise * (ch + 1) % 13).alias(n) for ch, n in enumerate("rgb")],
-    )
+    px = px.withColumn("kind", F.expr(PIXEL_KIND)).withColumn("noise", F.expr("CAST((x*7 + y*3 + o_custkey*11) % 13 AS INT)"))
+    channels = {n: palette_channel(F.col("kind"), ch) + F.col("noise") * (ch + 1) % 13 for ch, n in enumerate("rgb")}
+    return once(px, **channels).select("imagery_id", "x", "y", "r", "g", "b")
 
 
 def versions(spark: SparkSession, folder: str) -> DataFrame:
