@@ -272,7 +272,8 @@ def edge_support(rings: DataFrame, features: DataFrame, key: str = "parcel_id",
     targets = segments(lines).drop("seg")
     # without an own feature the line's identity does not matter and copies are folded
     targets = targets if own else targets.drop("line_id").distinct()
-    hits = near(samples, targets, ["imagery_id"], condition, reach=35.0)
+    # dense samples: cells close to the reach keep the tests per sample low
+    hits = near(samples, targets, ["imagery_id"], condition, reach=35.0, cell=40.0)
     per_sample = hits.groupBy(key, "seg", "s").agg(F.min("priority").alias("kind"))
     per_edge = per_sample.groupBy(key, "seg").agg(*[F.count_if(F.col("kind") == p).alias(n) for n, p in (("road", 1), ("wall", 2), ("field", 3))])
     e = edges.select(key, "seg", "len", "n_samples", "center", "x1", "y1", "x2", "y2").join(per_edge, [key, "seg"], "left")
