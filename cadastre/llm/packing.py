@@ -32,12 +32,16 @@ END = 2
 NUMBERED = 100_000
 
 
+def as_bytes(ids: np.ndarray) -> bytes:
+    return ids.astype("<u4").tobytes()
+
+
 def pieces_of(docs: DataFrame, *, size: int = SIZE, end: int = END, text: str = "text", key: str = "doc_id", path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Pieces (piece, start, length, ids_crc32) of every document; the first one takes the remainder."""
     path = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Pieces(path, lambda ids: np.array(ids, "<u4").tobytes())
+        encoder = Pieces.of_worker(path, as_bytes)
         close = np.array([end], "<u4").tobytes()
         for batch in batches:
             for first, texts in in_chunks(batch.column(1)):
