@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadastre.llm import language, packing, tokens
+from cadastre.llm import jaccard, language, packing, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,8 @@ def op5(spark, sf_dir):
 @query("op7_two_tier_token_counts")
 def op7(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op9_metric_space_jaccard_join")
+def op9(spark, sf_dir):
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"), words=4, percent=85).drop("d")

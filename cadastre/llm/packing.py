@@ -46,7 +46,10 @@ def pieces_of(docs: DataFrame, *, size: int = SIZE, end: int = END, text: str =
         for batch in batches:
             for first, texts in in_chunks(batch.column(1)):
                 rows: list[tuple] = []
-                for k, parts in enumerate(encoder.of([t.decode() for t in texts])):
+                for k, t in enumerate(texts):
+                    whole = t.decode()
+                    direct = encoder.ids(whole)
+                    parts = next(encoder.of([whole])) if direct is None else [as_bytes(direct)]
                     ids = b"".join([*parts, close])
                     total = len(ids) // 4
                     start, stop = 0, total % size or size

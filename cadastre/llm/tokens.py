@@ -101,6 +101,16 @@ class Pieces:
         for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
             yield p, self.value(np.array(e.ids, np.uint32))
 
+    def ids(self, text: str) -> np.ndarray | None:
+        """Ids of a text of Latin-1 characters without special strings; None where ``of`` must be asked."""
+        if not self.fast or any(t in text for t in self.special):
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return self.fast.encode_to_numpy(text)
+
     @staticmethod
     def cut(text: str) -> list[str]:
         """Pieces that join to the text; each but the first begins with a space."""
