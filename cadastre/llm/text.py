@@ -36,23 +36,30 @@ def in_chunks(texts: pa.Array, size: int = CHUNK_CHARS) -> Iterator[tuple[int, l
         yield first, held
 
 
-def shingle_hashes(text: bytes, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text, lower-cased in A-Z.
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
-    Words are what ASCII white space separates. A text of fewer words is one shingle; one without
-    words has none. Equal hashes stand for equal shingles (about 2^-64 a pair that they don't).
-    """
-    parts = text.lower().split()
-    if not parts:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
+
+def shingles_of(h: np.ndarray, words: int) -> np.ndarray:
+    """Hash of each run of ``words`` word hashes; fewer words make one run, none make none."""
+    if not len(h):
+        return h
     span = min(words, len(h))
     last = len(h) - span + 1
     acc = h[:last] ^ np.uint64(span)
     for k in range(1, span):
         acc = acc * _STEP + h[k : k + last]
         acc ^= acc >> _SHIFT
-    return np.unique(acc * _STEP)
+    return acc * _STEP
+
+
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a text, lower-cased in A-Z.
+
+    Words are what ASCII white space separates. A text of fewer words is one shingle; one without
+    words has none. Equal hashes stand for equal shingles (about 2^-64 a pair that they don't).
+    """
+    return np.unique(shingles_of(word_hashes(text.lower().split()), words))
 
 
 def bounded_rows(df: DataFrame, key: str, rows: int) -> DataFrame:
