@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadastre.llm import jaccard, language, packing, tokens
+from cadastre.llm import embeddings, jaccard, language, licenses, packing, pii, quality, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+@query("op1_weak_supervision_pii")
+def op1(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 @query("op2_best_two_fit_packing")
 def op2(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -37,6 +42,11 @@ def op5(spark, sf_dir):
     return language.predict(table(spark, sf_dir, "documents"))
 
 
+@query("op6_pivot_permutation_near_copies")
+def op6(spark, sf_dir):
+    return embeddings.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 @query("op7_two_tier_token_counts")
 def op7(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
@@ -45,3 +55,18 @@ def op7(spark, sf_dir):
 @query("op9_metric_space_jaccard_join")
 def op9(spark, sf_dir):
     return jaccard.similar_groups(table(spark, sf_dir, "documents"), words=4, percent=85).drop("d")
+
+
+@query("op4_extendible_hash_shards", oracle=sharding.ORACLE)
+def op4(spark, sf_dir):
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+@query("op8_minhash_license_scan")
+def op8(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op10_factorisation_machine_quality")
+def op10(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

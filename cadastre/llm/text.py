@@ -14,6 +14,8 @@ CHUNK_CHARS = 1_000_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def whole_text(text: str | Column = "text") -> Column:
@@ -36,6 +38,11 @@ def in_chunks(texts: pa.Array, size: int = CHUNK_CHARS) -> Iterator[tuple[int, l
         yield first, held
 
 
+def plain_words(text: bytes) -> list[bytes]:
+    """Words in lower case (A-Z) without ASCII marks."""
+    return text.translate(_LOWER, _MARKS).split()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
