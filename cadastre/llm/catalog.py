@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadastre.llm import embeddings, jaccard, language, licenses, packing, pii, quality, sharding, tokens
+from cadastre.llm import decontaminate, embeddings, jaccard, language, licenses, packing, pii, quality, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,11 @@ def op2(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op3_latent_decontamination")
+def op3(spark, sf_dir):
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op5_language_bitmask_filters")
 def op5(spark, sf_dir):
     return language.predict(table(spark, sf_dir, "documents"))

@@ -28,7 +28,7 @@ from cadastre.session import cut_lineage
 
 THRESHOLD = 0.95
 #: pivots that describe a vector, and how many a candidate pair shares
-NEAREST = 8
+NEAREST = 16
 SHARED = 2
 #: bounds of the number of pivots
 PIVOTS = (16, 16_384)
