@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ WINDOWS = ((12, 16, 4), (24, 32, 8), (48, 64, 16))
 BLOCK = 400
 RANK, OVER, POWER = 320, 8, 2
 #: cosine from which a passage is a candidate
-COSINE = 0.25
+COSINE = 0.3
 #: parts of an item, and of its last sentence, that the common subsequence covers
 LCS, ANSWER, COPIED = 0.6, 0.5, 0.8
 
@@ -175,7 +176,7 @@ def scan(text: bytes, vocabulary: dict[bytes, int], idf: np.ndarray, other: floa
     n = len(words)
     if not n or not vocabulary:
         return []
-    ids = np.fromiter((vocabulary.get(w, -1) for w in words), np.int64, n)
+    ids = np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int64, n)
     known = ids >= 0
     if not known.any():
         return []
@@ -200,6 +201,9 @@ def scan(text: bytes, vocabulary: dict[bytes, int], idf: np.ndarray, other: floa
                     item_at = int(block.owner[own[k]])
                     item = block.items[item_at]
                     around = words[max(0, a - len(item.words)) : e + len(item.words)]
+                    # no common subsequence is longer than the number of item words that occur at all
+                    if sum(map(set(around).__contains__, item.words)) < LCS * len(item.words):
+                        continue
                     cover = subsequence(item.words, around) / len(item.words)
                     answer = subsequence(item.answer, around) / len(item.answer)
                     if (cover >= COPIED or cover >= LCS and answer >= ANSWER) and cover > best.get(item_at, (0, 0.0))[1]:
