@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cadastre.llm.text import in_chunks, plain_words, whole_text
+from cadastre.llm.text import frugal, in_chunks, plain_words, whole_text
 from cadastre.session import cut_lineage
 
 #: words of a passage, and (most words of a passage, window, step) of each window class
@@ -104,7 +104,7 @@ def document_counts(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[int,
         at = np.flatnonzero(counts)
         yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], total))], ["w", "n"])
 
-    sums = docs.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
+    sums = docs.mapInArrow(frugal(run), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
     w, n = sums["w"].to_numpy(), sums["n"].to_numpy()
     counts = np.zeros(len(vocabulary), np.int64)
     counts[w[w >= 0]] = n[w >= 0]
@@ -130,7 +130,7 @@ def latent_space(spark, rows: list[tuple[list[int], list[float]]], width: int, r
                     np.add.at(total, at, x[:, None] * (x @ shared.value[at])[None, :])
             yield pa.record_batch([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["s"])
 
-        parts = [np.frombuffer(r["s"], np.float32).reshape(basis.shape) for r in matrix.mapInArrow(run, "s binary").collect()]
+        parts = [np.frombuffer(r["s"], np.float32).reshape(basis.shape) for r in matrix.mapInArrow(frugal(run), "s binary").collect()]
         shared.unpersist()
         return np.sum(parts, axis=0, dtype=np.float64)
 
@@ -228,7 +228,7 @@ def search(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: st
     kinds = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
     item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]]
     rows = docs.select(F.col(key).alias("id"), whole_text(text).cast("binary").alias("t"))
-    found = rows.mapInArrow(run, f"id {kinds[0]}, item {kinds[1]}, cosine double, lcs double, answer double, at_word long")
+    found = rows.mapInArrow(frugal(run), f"id {kinds[0]}, item {kinds[1]}, cosine double, lcs double, answer double, at_word long")
     return found.toDF(key, item_key, "cosine", "lcs", "answer", "at_word")
 
 

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cadastre.llm.text import held_out, in_chunks, whole_text
+from cadastre.llm.text import frugal, held_out, in_chunks, whole_text
 
 #: labelled rows of a language that its profile is learned from
 ROWS = 1_000
@@ -118,7 +118,7 @@ def learn(docs: DataFrame, *, rows: int = ROWS, text: str = "text", lang: str =
                     h, n = np.unique(np.concatenate(parts), return_counts=True)
                     yield pa.record_batch([pa.array(np.full(len(h), l, np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["l", "g", "n"])
 
-    counts = sample.select("l", F.col("text").cast("binary").alias("t")).mapInArrow(count, "l int, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
+    counts = sample.select("l", F.col("text").cast("binary").alias("t")).mapInArrow(frugal(count), "l int, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
     rate = F.col("n") / F.sum("n").over(Window.partitionBy("l"))
     profile = counts.withColumn("r", rate).withColumn("most", F.max("r").over(Window.partitionBy("g"))).where(F.col("r") >= SHARE * F.col("most")).select("l", "g")
     profile = profile.persist()
@@ -143,14 +143,15 @@ def identify(docs: DataFrame, filters: Filters, *, text: str = "text", keep: lis
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     keep = docs.columns if keep is None else keep
+    own = keep.index(text) if text in keep else len(keep)  # a kept text isn't sent twice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, letters = shared.value, _letters()
         for batch in batches:
             names, scores, rates = [], [], []
-            for _, texts in in_chunks(batch.column(len(keep))):
+            for _, texts in in_chunks(batch.column(own)):
                 for t in texts:
-                    h = grams(t.decode(), letters)
+                    h = grams(t.decode() if isinstance(t, bytes) else t, letters)
                     counts = model.counts(h) if len(h) and model.languages else np.zeros(1)
                     best, total = int(np.argmax(counts)), float(counts.sum())
                     known = total > 0 or len(h) and model.languages
@@ -163,7 +164,8 @@ def identify(docs: DataFrame, filters: Filters, *, text: str = "text", keep: lis
     columns = [F.col(c).alias(f"c{k}") for k, c in enumerate(keep)]
     n = len(keep)
     schema = ", ".join([*(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep)), f"c{n} string, c{n + 1} double, c{n + 2} double"])
-    out = docs.select(*columns, whole_text(text).cast("binary").alias(f"c{n}")).mapInArrow(run, schema)
+    more = [] if text in keep else [whole_text(text).alias(f"c{n}")]
+    out = docs.select(*columns, *more).mapInArrow(frugal(run), schema)
     return out.toDF(*keep, "lang_pred", "score", "rate")
 
 

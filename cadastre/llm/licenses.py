@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cadastre.llm.text import in_chunks, plain_words, shingles_of, whole_text, word_hashes
+from cadastre.llm.text import frugal, in_chunks, plain_words, shingles_of, whole_text, word_hashes
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -122,4 +122,4 @@ def scan(docs: DataFrame, *, templates: dict[str, str] = TEMPLATES, text: str =
 
     rows = docs.select(F.col(key).alias("id"), whole_text(text).cast("binary").alias("t"))
     kind = docs.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, license string, containment double, at_word long").withColumnRenamed("id", key)
+    return rows.mapInArrow(frugal(run), f"id {kind}, license string, containment double, at_word long").withColumnRenamed("id", key)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cadastre.llm.text import in_chunks, whole_text
+from cadastre.llm.text import frugal, in_chunks, whole_text
 from cadastre.llm.tokens import Pieces, vocabulary
 from cadastre.operators.history import number_rows
 from cadastre.session import cut_lineage
@@ -65,7 +65,7 @@ def pieces_of(docs: DataFrame, *, size: int = SIZE, end: int = END, text: str =
     rows = docs.select(F.col(key).alias("id"), whole_text(text).cast("binary").alias("t"))
     kind = docs.schema[key].dataType.simpleString()
     extra = ", ids binary" if with_ids else ""
-    return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long{extra}").withColumnRenamed("id", key)
+    return rows.mapInArrow(frugal(run), f"id {kind}, piece int, start long, length long, ids_crc32 long{extra}").withColumnRenamed("id", key)
 
 
 def best_two_fit(counts: dict[int, int], size: int = SIZE) -> list[tuple[list[int], int]]:

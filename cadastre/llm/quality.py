@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cadastre.llm.text import bounded_rows, held_out, in_chunks, whole_text, word_hashes
+from cadastre.llm.text import frugal, bounded_rows, held_out, in_chunks, whole_text, word_hashes
 from cadastre.session import cut_lineage
 
 BUCKETS = 1 << 12
@@ -169,7 +169,7 @@ def score(docs: DataFrame, machine: Machine, *, text: str = "text", key: str = "
 
     rows = docs.select(F.col(key).alias("id"), whole_text(text).cast("binary").alias("t"))
     kind = docs.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", key)
+    return rows.mapInArrow(frugal(run), f"id {kind}, score double").withColumnRenamed("id", key)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, text: str = "text", key: str = "doc_id", **fitting) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +20,29 @@ _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A map over Arrow batches whose worker gives memory back to the system when a task ends."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+    return wrapped
+
+
 def whole_text(text: str | Column = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def in_chunks(texts: pa.Array, size: int = CHUNK_CHARS) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, UTF-8 texts) of runs of rows that hold about ``size`` bytes together."""
-    held: list[bytes] = []
+def in_chunks(texts: pa.Array, size: int = CHUNK_CHARS) -> Iterator[tuple[int, list]]:
+    """(first row, texts as the column has them) of runs of rows of about ``size`` bytes or characters."""
+    held: list = []
     first = total = 0
     for k, text in enumerate(texts):
         value = text.as_py() or b""

@@ -15,18 +15,19 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cadastre.llm.text import bounded_rows, in_chunks, whole_text
+from cadastre.llm.text import frugal, bounded_rows, in_chunks, whole_text
 
 #: rows from which frequent pieces are chosen, and how many of them are broadcast (a few MB at most)
 SAMPLE_ROWS = 2_000
 FREQUENT = 50_000
 #: entries of a worker's cache before it starts anew, and the longest piece that is kept
-CACHE = 250_000
+CACHE = 200_000
 LONGEST = 48
 
 
@@ -64,9 +65,8 @@ class Pieces:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker for each core
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         ranks = plain_ranks(model)
@@ -77,6 +77,12 @@ class Pieces:
         self.frequent = frequent or {}
         self.known = dict(self.frequent)
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @classmethod
     def of_worker(cls, path: str, value: Callable[[np.ndarray], object], frequent: Callable[[], dict] = dict) -> Pieces:
         """The worker's own instance, so that its cache serves one task after the other."""
@@ -173,5 +179,5 @@ def count_tokens(docs: DataFrame, *, limit: int = 512, text: str = "text", key:
 
     rows = docs.select(F.col(key).alias("id"), whole_text(text).cast("binary").alias("t"), F.octet_length(whole_text(text)).cast("long").alias("n_bytes"))
     kind = docs.schema[key].dataType.simpleString()
-    out = rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(frugal(run), f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
