@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cadastre.llm.text import frugal, in_chunks, plain_words, whole_text
+from cadastre.llm.text import broadcast_if_small, frugal, in_chunks, plain_words, whole_text
 from cadastre.session import cut_lineage
 
 #: words of a passage, and (most words of a passage, window, step) of each window class
@@ -236,4 +236,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: st
     """The documents in which no benchmark item is found, with all their columns."""
     marked = docs.withColumn("place__", F.struct(F.xxhash64(key, text).alias("a"), F.hash(text, key).alias("b")))
     found = search(marked.select("place__", text), benchmark, text=text, key="place__", **names).select("place__").distinct()
-    return marked.join(found, "place__", "left_anti").select(*docs.columns)
+    return marked.join(broadcast_if_small(cut_lineage(found)), "place__", "left_anti").select(*docs.columns)

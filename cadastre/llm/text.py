@@ -95,6 +95,11 @@ def bounded_rows(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.where(spread <= last).dropDuplicates([key])
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """The rows, marked for broadcast where there are at most ``rows``; a larger side is shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def fold(column: Column) -> Column:
     """crc32 of an id's decimal text modulo 4, by which labelled rows are dealt to folds."""
     return F.crc32(column.cast("string").cast("binary")) % 4

@@ -14,7 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cadastre.llm import decontaminate, jaccard, language, packing, pii
-from cadastre.session import configure, ensure_checkpoint_dir
+from cadastre.llm.text import broadcast_if_small
+from cadastre.session import configure, cut_lineage, ensure_checkpoint_dir
 
 #: part of a text's n-grams that its language's profile must hold for the document to stay
 LEAST_RATE = 0.25
@@ -43,7 +44,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     marked = docs.withColumn("place__", place)
     groups = jaccard.similar_groups(marked.select("place__", "text"), words=5, percent=80, key="place__")
     verdict = groups.groupBy("place__").agg(F.max(F.col("place__") != F.col("component_id")).alias("copy__"), (F.count("*") * F.max(F.col("n_shingles") > 0).cast("int") > 1).alias("again__"))
-    going = verdict.where("copy__ or again__")
+    going = broadcast_if_small(cut_lineage(verdict.where("copy__ or again__")))
     joined = marked.join(going, "place__", "left")
     alone = joined.where("copy__ is null").select(*docs.columns)
     again = joined.where("not copy__ and again__").dropDuplicates(["place__"]).select(*docs.columns)
