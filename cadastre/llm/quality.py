@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: str
             yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["g"])
 
         parts = [np.frombuffer(r["g"]) for r in rows.mapInArrow(sums, "g binary").collect()]
-        total = sum(parts)
+        total = sum(parts, np.zeros(2 + size))
         if not total[1]:
             return machine
         g = total[2:] / total[1]
