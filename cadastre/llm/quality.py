@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: str
     # the sample has a fixed largest size, so its ids may be broadcast
     rows = docs.select(F.col(key).alias("id"), whole_text(text).cast("binary").alias("t")).join(F.broadcast(chosen), "id").dropDuplicates(["id"])
     rows = rows.repartition(TASKS, "id").select(F.col("y").cast("double").alias("y"), "t").mapInArrow(vectors, "y double, x binary")
-    rows = cut_lineage(rows)
+    rows = cut_lineage(rows).coalesce(TASKS)  # so many gradients reach the driver in each step at most
     size = 1 + WIDTH * (1 + RANK)
     first, second = np.zeros(size), np.zeros(size)
     for step in range(1, steps + 1):
