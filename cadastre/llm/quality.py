@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: str
         parts = [np.frombuffer(r["g"]) for r in rows.mapInArrow(sums, "g binary").collect()]
         total = sum(parts, np.zeros(2 + size))
         if not total[1]:
-            return machine
+            return Machine(0.0, np.zeros(WIDTH, np.float32), np.zeros((WIDTH, RANK), np.float32))
         g = total[2:] / total[1]
         theta = np.concatenate(([machine.bias], machine.weights, machine.factors.ravel()))
         g[1:] += DECAY * theta[1:]
