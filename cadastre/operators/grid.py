@@ -32,7 +32,7 @@ def point_cells(df: DataFrame, x, y, cell: float = CELL) -> DataFrame:
 def _salted(left: DataFrame, right: DataFrame, salts: int) -> tuple[DataFrame, DataFrame, list[str]]:
     if salts <= 1:
         return left, right, []
-    left = left.withColumn("salt", F.pmod(F.xxhash64(*left.columns[:2]), F.lit(salts)).cast("int"))
+    left = left.withColumn("salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left, right, ["salt"]
 

@@ -7,27 +7,26 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cadastre.session import cut_lineage
 
 
-def greedy_dropped(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
+def greedy_dropped(pairs: DataFrame) -> DataFrame:
     """Ids a sequential "keep unless a kept stronger one forbids it" pass would drop.
 
     ``pairs``: (strong, weak), strong comes first in the order. A node no open pair names as weak is
     certainly kept; what it forbids is certainly dropped; both leave the table. The result does not
-    depend on partitioning. Rounds follow the longest chain of decisions, and the table shrinks.
+    depend on partitioning. Rounds follow the longest chain of decisions, and the table shrinks in each;
+    only pairs that form a cycle could stop that, which no order has.
     """
     open_pairs = cut_lineage(pairs.select("strong", "weak").distinct())
     dropped = []
-    for _ in range(max_rounds):
-        if open_pairs.isEmpty():
-            break
+    while not open_pairs.isEmpty():
         weak = open_pairs.select(F.col("weak").alias("strong")).distinct()
         decided = open_pairs.join(weak, "strong", "left_anti")
         gone = cut_lineage(decided.select("weak").distinct())
+        if gone.isEmpty():
+            raise RuntimeError("the pairs form a cycle")
         dropped.append(gone)
         lost = gone.withColumnRenamed("weak", "strong")
         # the pairs of a kept node all point at dropped nodes, so these two joins remove them too
         open_pairs = cut_lineage(open_pairs.join(gone, "weak", "left_anti").join(lost, "strong", "left_anti"))
-    else:
-        raise RuntimeError("greedy selection did not settle within the round limit")
     out = open_pairs.select("weak")
     for part in dropped:
         out = out.unionByName(part)
@@ -44,8 +43,8 @@ def keep_strongest_copies(df: DataFrame, geometry: list[str], order: Column, key
     return first.select("r.*")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest reachable id for every node of (u, v) pairs: alternating star contraction."""
+def components(edges: DataFrame) -> DataFrame:
+    """Smallest reachable id for every node of (u, v) pairs: alternating star contraction until it settles."""
 
     def star(e: DataFrame, larger: bool) -> DataFrame:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -61,7 +60,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     current = cut_lineage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = fingerprint(current)
-    for _ in range(max_rounds):
+    while True:
         step = cut_lineage(star(star(current, True), False))
         now = fingerprint(step)
         if now == seen:
@@ -69,4 +68,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             roots = step.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
             return labels.unionByName(roots)
         current, seen = step, now
-    raise RuntimeError("components did not settle within the round limit")

@@ -189,3 +189,32 @@ def test_selection_equals_sequential(spark, seed):
     rows = [(1, c["id"], c["score"], c["sup"], ring((c["x"], c["y"]), (c["x"] + 10, c["y"]), (c["x"] + 10, c["y"] + 10), (c["x"], c["y"] + 10), (c["x"], c["y"]))) for c in cands]
     df = spark.createDataFrame(rows, f"imagery_id int, feature_id long, score double, supported_pct int, ring {RING_TYPE}")
     assert {(r.feature_id, r.candidate_status) for r in I.select_disjoint(df).collect()} == sequential_pick(cands)
+
+
+def test_snapping_across_bands_of_latitude(spark):
+    """Scales change at half degrees; a reference on the other side is still met."""
+    from cadastre.operators.repair import snap_vertices
+
+    points = spark.createDataFrame([(1, 1, 73.0, 18.499995), (1, 2, 73.0, 18.500005), (1, 3, 73.0, 18.6)], "imagery_id long, point_id long, lng double, lat double")
+    refs = spark.createDataFrame([(1, 7, 73.0, 18.500005), (1, 8, 73.0, 18.499996)], "imagery_id long, ref_id long, lng double, lat double")
+    got = {r["point_id"]: (r["snapped"], r["ref_id"]) for r in snap_vertices(points, refs, 1.5).collect()}
+    assert got == {1: (True, 8), 2: (True, 7), 3: (False, None)}
+    only = {r["point_id"]: r["snapped"] for r in snap_vertices(points, refs.where("ref_id = 7"), 1.5).collect()}
+    assert only == {1: True, 2: True, 3: False}
+
+
+def test_long_chain_of_decisions_settles(spark):
+    from cadastre.operators.rounds import greedy_dropped
+
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(60)], "strong long, weak long")
+    assert sorted(r["id"] for r in greedy_dropped(pairs).collect()) == list(range(1, 61, 2))
+
+
+def test_salts_spread_one_hot_cell(spark):
+    from pyspark.sql import functions as F
+
+    from cadastre.operators.grid import _salted
+
+    rows = spark.range(200).select(F.lit(1).alias("scope"), F.lit(2).alias("image"), "id")
+    left, _, _ = _salted(rows, rows, 8)
+    assert left.select("salt").distinct().count() == 8
