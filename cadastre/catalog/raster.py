@@ -84,11 +84,8 @@ def r04(spark, d):
     return t.select("imagery_id", "x", "y", G.js_round(F.col("blur"), 3).alias("blur"), G.js_round(F.col("std7"), 3).alias("std7"))
 
 
-SOBEL = BLUR + """, n AS (SELECT c.imagery_id, c.x, c.y, c.luma, nw.blur AS a, no.blur AS b, ne.blur AS c, we.blur AS d, ea.blur AS f, sw.blur AS g, so.blur AS h, se.blur AS i FROM bl c
-    LEFT JOIN bl nw ON nw.imagery_id=c.imagery_id AND nw.x=c.x-1 AND nw.y=c.y-1 LEFT JOIN bl no ON no.imagery_id=c.imagery_id AND no.x=c.x AND no.y=c.y-1 LEFT JOIN bl ne ON ne.imagery_id=c.imagery_id AND ne.x=c.x+1 AND ne.y=c.y-1
-    LEFT JOIN bl we ON we.imagery_id=c.imagery_id AND we.x=c.x-1 AND we.y=c.y LEFT JOIN bl ea ON ea.imagery_id=c.imagery_id AND ea.x=c.x+1 AND ea.y=c.y
-    LEFT JOIN bl sw ON sw.imagery_id=c.imagery_id AND sw.x=c.x-1 AND sw.y=c.y+1 LEFT JOIN bl so ON so.imagery_id=c.imagery_id AND so.x=c.x AND so.y=c.y+1 LEFT JOIN bl se ON se.imagery_id=c.imagery_id AND se.x=c.x+1 AND se.y=c.y+1),
-  gr AS (SELECT imagery_id, x, y, luma, coalesce(-a+c-2*d+2*f-g+i,0) AS gx, coalesce(-a-2*b-c+g+2*h+i,0) AS gy FROM n),
+SOBEL = BLUR + """, rw AS (SELECT *, lead(blur) OVER w-lag(blur) OVER w AS dx, lag(blur) OVER w+2*blur+lead(blur) OVER w AS sx FROM bl WINDOW w AS (PARTITION BY imagery_id, y ORDER BY x)),
+  gr AS (SELECT imagery_id, x, y, luma, coalesce(lag(dx) OVER w+2*dx+lead(dx) OVER w,0) AS gx, coalesce(lead(sx) OVER w-lag(sx) OVER w,0) AS gy FROM rw WINDOW w AS (PARTITION BY imagery_id, x ORDER BY y)),
   sob AS (SELECT *, sqrt(gx*gx+gy*gy) AS magnitude FROM gr)"""
 
 
@@ -97,9 +94,19 @@ def r05(spark, d):
     return gradient(spark, d).select("imagery_id", "x", "y", G.js_round(F.col("magnitude"), 3).alias("magnitude"))
 
 
-@query("r06_canny")
+# ridge pixels by the four directions of the gradient, then a flood from the strong ones over the weak ones
+CANNY = SOBEL + """, lim AS (SELECT imagery_id, greatest(30e0, avg(magnitude)*1.8e0) AS high FROM sob GROUP BY 1),
+  ud AS (SELECT *, lag(magnitude) OVER w AS u, lead(magnitude) OVER w AS dn FROM sob WINDOW w AS (PARTITION BY imagery_id, x ORDER BY y)),
+  nb AS (SELECT *, lag(magnitude) OVER w AS we, lead(magnitude) OVER w AS ea, lag(u) OVER w AS nw, lead(u) OVER w AS ne, lag(dn) OVER w AS sw, lead(dn) OVER w AS se FROM ud WINDOW w AS (PARTITION BY imagery_id, y ORDER BY x)),
+  th AS (SELECT *, degrees(atan2(gy,gx)) AS dg FROM nb), tt AS (SELECT *, CASE WHEN dg<0 THEN dg+180 ELSE dg END AS t FROM th),
+  ridge AS (SELECT imagery_id, x, y, magnitude, high FROM tt JOIN lim USING (imagery_id) WHERE magnitude>=high*0.45e0 AND u IS NOT NULL AND dn IS NOT NULL AND we IS NOT NULL AND ea IS NOT NULL AND
+    CASE WHEN t<22.5e0 OR t>=157.5e0 THEN magnitude>=we AND magnitude>=ea WHEN t<67.5e0 THEN magnitude>=ne AND magnitude>=sw WHEN t<112.5e0 THEN magnitude>=u AND magnitude>=dn ELSE magnitude>=nw AND magnitude>=se END),
+  edge AS (SELECT imagery_id, x, y FROM ridge WHERE magnitude>=high UNION SELECT r.imagery_id, r.x, r.y FROM edge e JOIN ridge r ON r.imagery_id=e.imagery_id AND abs(r.x-e.x)<=1 AND abs(r.y-e.y)<=1)"""
+
+
+@query("r06_canny", sql("pixels", recursive=True, body=IDX + CANNY + " SELECT imagery_id, x, y FROM edge"))
 def r06(spark, d):
-    return R.canny(gradient(spark, d), tile=32).groupBy("imagery_id").agg(F.count("*").alias("edge_pixels"))
+    return R.canny(gradient(spark, d), tile=32).select("imagery_id", "x", "y")
 
 
 def morph_sql(name, src, col, agg, span, erode=False):
@@ -121,14 +128,32 @@ def r07(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-def water_labels(spark, d):
-    m = R.class_masks(R.indices(D.pixels(spark, d))).select("imagery_id", "x", "y", "m_water")
-    return R.label_components(m.where("m_water = 1").drop("m_water"), tile=32)
+# every image once per class mask, as images of their own: five times the id plus the place of the class
+LAYERS = ("road", "building", "field", "vegetation", "water")
+LAYER_PIXELS = """, layers AS (SELECT imagery_id*5+k.i AS imagery_id, x, y FROM idx, (VALUES (0),(1),(2),(3),(4)) k(i) WHERE CASE k.i
+    WHEN 0 THEN NOT (sat>=0.20e0 AND hue BETWEEN 45 AND 155 AND exg>0.05e0) AND ((sat<=0.38e0 AND val BETWEEN 0.20e0 AND 0.98e0) OR (hue BETWEEN 14 AND 45 AND sat<=0.45e0 AND val BETWEEN 0.25e0 AND 0.85e0))
+    WHEN 1 THEN NOT (sat>=0.20e0 AND hue BETWEEN 45 AND 155 AND exg>0.05e0) AND (((hue<=40 OR hue>=335) AND sat>=0.20e0 AND val>=0.22e0) OR (val>=0.60e0 AND sat<=0.35e0) OR (val BETWEEN 0.46e0 AND 0.95e0 AND sat<=0.25e0) OR (hue BETWEEN 175 AND 245 AND sat>=0.18e0 AND val>=0.18e0))
+    WHEN 2 THEN exg>0.05e0 OR (hue BETWEEN 45 AND 160 AND sat>=0.18e0 AND val>=0.18e0) OR (hue BETWEEN 18 AND 42 AND sat>=0.28e0 AND val>=0.22e0)
+    WHEN 3 THEN exg>0.20e0 AND hue BETWEEN 45 AND 155 AND sat>0.35e0 AND val>0.15e0
+    ELSE (hue BETWEEN 170 AND 250 AND sat>=0.18e0 AND val<=0.95e0) OR (luma<0.12e0 AND sat<0.30e0) END)"""
 
 
-@query("r08_connected_components")
+def layer_labels(spark, d):
+    m = R.class_masks(R.indices(D.pixels(spark, d)))
+    on = F.array_compact(F.array(*[F.when(F.col(f"m_{c}") == 1, i) for i, c in enumerate(LAYERS)]))
+    layers = m.select("imagery_id", "x", "y", F.explode(on).alias("i"))
+    return R.label_components(layers.select((F.col("imagery_id") * 5 + F.col("i")).alias("imagery_id"), "x", "y"), tile=32)
+
+
+# a flood from every run start without a pixel above it; a pixel's component is its smallest source
+@query("r08_connected_components", sql("pixels", recursive=True, body=IDX + LAYER_PIXELS + """, near AS (SELECT *, y*64+x AS id, lag(x) OVER (PARTITION BY imagery_id, y ORDER BY x) AS lx, lag(y) OVER (PARTITION BY imagery_id, x ORDER BY y) AS uy FROM layers),
+  runs AS (SELECT imagery_id, y, x-row_number() OVER (PARTITION BY imagery_id, y ORDER BY x) AS g, x, uy FROM near),
+  r AS (SELECT imagery_id, y, min(x) AS xa, max(x) AS xb, min(y*64+x) AS id, max(CASE WHEN uy=y-1 THEN 1 ELSE 0 END) AS above FROM runs GROUP BY imagery_id, y, g),
+  fl AS (SELECT imagery_id, y, xa, xb, id, id AS source FROM r WHERE above=0 UNION SELECT r.imagery_id, r.y, r.xa, r.xb, r.id, fl.source FROM fl JOIN r ON r.imagery_id=fl.imagery_id AND abs(r.y-fl.y)=1 AND r.xa<=fl.xb AND fl.xa<=r.xb),
+  lb AS (SELECT imagery_id, y, xa, xb, min(source) AS label FROM fl GROUP BY 1,2,3,4)
+  SELECT imagery_id, CAST(sum(xb-xa+1) AS BIGINT) AS n, min(xa) AS xmin, max(xb) AS xmax, min(y) AS ymin, max(y) AS ymax FROM lb GROUP BY imagery_id, label HAVING sum(xb-xa+1)>=20"""))
 def r08(spark, d):
-    s = R.component_stats(water_labels(spark, d), 20)
+    s = R.component_stats(layer_labels(spark, d), 20)
     return s.select("imagery_id", "n", "xmin", "xmax", "ymin", "ymax")
 
 
@@ -162,10 +187,25 @@ def r09(spark, d):
     return f.select("imagery_id", "label", "feature_class", "accepted", "confidence")
 
 
-@query("r10_trace_contours")
+# bends from the four pixels round each corner: one or three on make one bend, two across make two
+@query("r10_trace_contours", sql("pixels", body=IDX + LAYER_PIXELS + """, c AS (SELECT imagery_id, x+k.dx AS cx, y+k.dy AS cy, sum(k.bit) AS p FROM layers, (VALUES (0,0,1),(1,0,2),(0,1,4),(1,1,8)) k(dx,dy,bit) GROUP BY 1,2,3),
+  b AS (SELECT *, CASE WHEN p IN (1,2,4,8,7,11,13,14) THEN 1 WHEN p IN (6,9) THEN 2 ELSE 0 END AS bends, CASE WHEN p IN (1,2,4,8) THEN 1 WHEN p IN (7,11,13,14) THEN -1 WHEN p IN (6,9) THEN 2 ELSE 0 END AS turn,
+    CASE WHEN p IN (0,15) THEN 0 WHEN p IN (6,9) THEN 4 ELSE 2 END AS sides FROM c),
+  n AS (SELECT imagery_id, count(*) AS area FROM layers GROUP BY 1)
+  SELECT imagery_id, CAST(sum(turn)/4 AS BIGINT) AS outer_less_holes, CAST(sum(bends) AS BIGINT) AS bends, CAST(sum(bends*cx) AS DOUBLE) AS sum_x, CAST(sum(bends*cy) AS DOUBLE) AS sum_y, CAST(sum(bends*cx*cy) AS DOUBLE) AS sum_xy, CAST(sum(sides)/2 AS DOUBLE) AS length, CAST(any_value(area) AS DOUBLE) AS area
+  FROM b JOIN n USING (imagery_id) GROUP BY 1"""))
 def r10(spark, d):
-    c = R.trace_contours(cut_lineage(water_labels(spark, d)))
-    return c.select("imagery_id", F.size("pts").alias("steps"), G.planar_area(F.col("pts")).alias("area"))
+    c = R.trace_contours(cut_lineage(layer_labels(spark, d)))
+    bends, sign = F.slice("pts", F.lit(1), F.size("pts") - 1), F.when(F.col("ring") == 0, 1).otherwise(-1)
+    c = c.withColumn("bends", bends).withColumn("sign", sign)
+
+    def total(value):
+        return F.sum(F.aggregate("bends", F.lit(0.0), lambda acc, p: acc + value(p)))
+
+    return c.groupBy("imagery_id").agg(
+        F.sum("sign").cast("long").alias("outer_less_holes"), F.sum(F.size("bends")).alias("bends"), total(lambda p: p["x"]).alias("sum_x"), total(lambda p: p["y"]).alias("sum_y"),
+        total(lambda p: p["x"] * p["y"]).alias("sum_xy"), F.sum(G.planar_length(F.col("pts"))).alias("length"), F.sum(F.col("sign") * G.planar_area(F.col("pts"))).alias("area"),
+    )
 
 
 @query("r11_component_spine", sql("pixels", body=IDX + """, lb AS (SELECT imagery_id, x, y, imagery_id*2+CASE WHEN y<imagery_id%30+9 THEN 0 ELSE 1 END AS label FROM idx WHERE (x*3+y*(1+imagery_id%4))%29<14),

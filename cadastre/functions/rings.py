@@ -47,71 +47,78 @@ def per_ring(fn):
     return column
 
 
-def keep_corners(points: np.ndarray, tolerance: float) -> np.ndarray:
-    """Ramer-Douglas-Peucker with an explicit stack of spans."""
-    n = len(points)
-    if n <= 2:
-        return points
-    keep = np.zeros(n, dtype=bool)
-    keep[[0, n - 1]] = True
-    spans = [(0, n - 1)]
-    while spans:
-        a, b = spans.pop()
+def corner_mask(points: np.ndarray, anchors: list[int], tolerance: float) -> np.ndarray:
+    """Which points a path keeps: the anchors, and between two kept points whatever strays farthest
+    from their line by more than the tolerance."""
+    kept = np.zeros(len(points), dtype=bool)
+    kept[anchors] = True
+    open_spans = list(zip(anchors[:-1], anchors[1:]))
+    while open_spans:
+        a, b = open_spans.pop()
         if b - a < 2:
             continue
-        inner, p, q = points[a + 1 : b], points[a], points[b]
-        d = q - p
-        length = np.hypot(*d)
-        if length == 0:
-            away = np.hypot(inner[:, 0] - p[0], inner[:, 1] - p[1])
-        else:
-            away = np.abs(d[1] * inner[:, 0] - d[0] * inner[:, 1] + q[0] * p[1] - q[1] * p[0]) / length
-        k = int(np.argmax(away))
-        if away[k] > tolerance:
-            keep[a + 1 + k] = True
-            spans += [(a, a + 1 + k), (a + 1 + k, b)]
-    return points[keep]
+        away = points[a + 1 : b] - points[a]
+        chord = points[b] - points[a]
+        length = np.hypot(*chord)
+        stray = np.hypot(*away.T) if length == 0 else np.abs(away @ np.array([-chord[1], chord[0]])) / length
+        k = int(np.argmax(stray))
+        if stray[k] > tolerance:
+            middle = a + 1 + k
+            kept[middle] = True
+            open_spans += [(a, middle), (middle, b)]
+    return kept
+
+
+def keep_corners(points: np.ndarray, tolerance: float) -> np.ndarray:
+    """Open path without the points closer than the tolerance to its simplified course."""
+    return points if len(points) <= 2 else points[corner_mask(points, [0, len(points) - 1], tolerance)]
 
 
 def keep_ring_corners(ring: np.ndarray, tolerance: float) -> np.ndarray:
-    """Closed ring: simplify both halves between the first vertex and the one farthest from it."""
-    pts = ring[:-1]
-    if len(pts) < 4:
+    """Closed ring simplified between two anchors: its first vertex and the one farthest from that."""
+    if len(ring) < 5:
         return ring
-    far = 1 + int(np.argmax(np.hypot(*(pts[1:] - pts[0]).T)))
-    first = keep_corners(pts[: far + 1], tolerance)
-    second = keep_corners(np.vstack([pts[far:], pts[:1]]), tolerance)
-    return np.vstack([first[:-1], second])
+    opposite = int(np.argmax(np.hypot(*(ring - ring[0]).T)))
+    # a ring without extent has no vertex apart from the first; any other serves
+    return ring[corner_mask(ring, [0, opposite or 1, len(ring) - 1], tolerance)]
 
 
 # fixed values: shortest edge, straightness and spike limits of a regular ring
 MIN_EDGE, STRAIGHT_COS, SPIKE_COS, SPIKE_EDGE = 8.0, 0.96, -0.85, 40.0
 
 
+def unwanted_corners(corners: np.ndarray) -> np.ndarray:
+    """Vertices of an unclosed ring at a short edge, on a straight run or at the tip of a spike."""
+    into, onward = corners - np.roll(corners, 1, axis=0), np.roll(corners, -1, axis=0) - corners
+    before, after = np.hypot(*into.T), np.hypot(*onward.T)
+    shorter, product = np.minimum(before, after), before * after
+    cos = (into * onward).sum(axis=1) / np.where(product > 0, product, 1.0)
+    return (shorter < MIN_EDGE) | (cos > STRAIGHT_COS) | ((cos < SPIKE_COS) & (shorter < SPIKE_EDGE))
+
+
 def regular_ring(ring: np.ndarray, tolerance: float) -> np.ndarray:
-    """Whole-pixel ring without stair steps, short edges, straight vertices and spikes."""
+    """Whole-pixel ring in which no vertex but the first is unwanted.
+
+    Vertices are judged against their neighbours of the moment, every second one of an unwanted run
+    goes, and the rest is judged again; a single left-to-right pass may keep other vertices of such a run.
+    A ring that would lose its area comes back in whole pixels only.
+    """
     if len(ring) < 4:
         return ring
-    pts = np.floor(ring + 0.5)
-    if (pts[0] != pts[-1]).any():
-        pts = np.vstack([pts, pts[:1]])
-    slim = keep_ring_corners(pts, tolerance)
-    if len(slim) < 4:
-        return pts
-    out = [slim[0]]
-    for here, after in zip(slim[1:-1], slim[2:]):
-        into, onward = here - out[-1], after - here
-        a, b = np.hypot(*into), np.hypot(*onward)
-        if min(a, b) < MIN_EDGE:
-            continue
-        cos = float(into @ onward) / (a * b)
-        if cos > STRAIGHT_COS or (cos < SPIKE_COS and min(a, b) < SPIKE_EDGE):
-            continue
-        out.append(here)
-    out.append(slim[-1])
-    if (out[0] != out[-1]).any():
-        out.append(out[0])
-    return np.array(out) if len(out) >= 4 else pts
+    whole = np.floor(ring + 0.5)
+    if (whole[0] != whole[-1]).any():
+        whole = np.vstack([whole, whole[:1]])
+    corners = keep_ring_corners(whole, tolerance)[:-1]
+    while len(corners) >= 3:
+        unwanted = unwanted_corners(corners)
+        unwanted[0] = False
+        places = np.arange(len(corners))
+        run_start = np.maximum.accumulate(np.where(unwanted, 0, places))
+        going = unwanted & ((places - run_start) % 2 == 1)
+        if not going.any():
+            return np.vstack([corners, corners[:1]])
+        corners = corners[~going]
+    return whole
 
 
 # fixed values: passes, sharpest angle and notch limits of a contour
