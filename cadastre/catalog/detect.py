@@ -254,16 +254,20 @@ def d10(spark, d):
     return T.false_positive_filter(D.features(spark, d)).select("feature_id")
 
 
-@query("d11_accept_or_reject", sql("features", body=f""", t AS (SELECT *, CASE WHEN detection_type='BUILDING' THEN 0.40e0 WHEN detection_type IN ('ROAD','WALL','FENCE') THEN 0.65e0 WHEN detection_type IN ('FIELD','VEGETATION') THEN 0.55e0 WHEN sub_type='canal' THEN 0.70e0 ELSE 0.60e0 END AS thr,
-   CASE WHEN detection_type='BUILDING' AND fw*fh<60 THEN 'x' WHEN detection_type='BUILDING' AND greatest(fw,fh)/CAST(least(fw,fh) AS DOUBLE)>4.5e0 THEN 'x' WHEN detection_type='FIELD' AND fw*fh<180000 THEN 'x' WHEN detection_type='VEGETATION' AND fw*fh<100 THEN 'x'
-   WHEN detection_type IN ('ROAD','WALL','FENCE') AND {LINE_LEN}<25 THEN 'x' WHEN detection_type IN ('WALL','FENCE') AND {LINE_LEN}>150 THEN 'x' END AS reason FROM features),
+# every 17th line is stretched thirty times to the right, so lines leave the image or jump
+@query("d11_accept_or_reject", sql("features", body=f""", g AS (SELECT * EXCLUDE (fw), CASE WHEN detection_type IN ('ROAD','WALL','FENCE') AND feature_id%17=3 THEN fw*30 ELSE fw END AS fw FROM features), t AS (SELECT *, CASE WHEN detection_type='BUILDING' THEN 0.40e0 WHEN detection_type IN ('ROAD','WALL','FENCE') THEN 0.65e0 WHEN detection_type IN ('FIELD','VEGETATION') THEN 0.55e0 WHEN sub_type='canal' THEN 0.70e0 ELSE 0.60e0 END AS thr,
+   CASE WHEN fx+fw>4010 OR fy+fh>3010 THEN 'out_of_bounds' WHEN detection_type='BUILDING' AND fw*fh<60 THEN 'building_area_out_of_bounds' WHEN detection_type='BUILDING' AND least(fw,fh)<6 THEN 'building_too_thin' WHEN detection_type='BUILDING' AND greatest(fw,fh)/CAST(least(fw,fh) AS DOUBLE)>4.5e0 THEN 'building_aspect_ratio'
+   WHEN detection_type='FIELD' AND fw*fh<180000 THEN 'field_area_out_of_bounds' WHEN detection_type='VEGETATION' AND fw*fh<100 THEN 'vegetation_area_out_of_bounds' WHEN detection_type='WATER' AND fw*fh<80 THEN 'water_area_out_of_bounds' WHEN detection_type IN ('ROAD','WALL','FENCE') AND greatest(fw,fh)>2200 THEN 'extreme_segment_jump'
+   WHEN detection_type IN ('ROAD','WALL','FENCE') AND {LINE_LEN}<25 THEN 'line_length_too_short' WHEN detection_type IN ('WALL','FENCE') AND {LINE_LEN}>150 THEN 'extreme_diagonal_artifact' END AS reason FROM g),
   a AS (SELECT *, row_number() OVER (PARTITION BY imagery_id ORDER BY CASE detection_type WHEN 'BUILDING' THEN 0 WHEN 'ROAD' THEN 1 WHEN 'FIELD' THEN 2 WHEN 'WALL' THEN 3 WHEN 'FENCE' THEN 4 WHEN 'VEGETATION' THEN 5 ELSE 6 END, feature_id) AS n FROM t WHERE reason IS NULL AND confidence>=thr)
-  SELECT feature_id, 'det_'||imagery_id||'_'||lower(detection_type)||'_'||n AS detection_id, NULL AS threshold FROM a UNION ALL SELECT feature_id, NULL, thr FROM t WHERE reason IS NOT NULL OR confidence<thr"""))
+  SELECT feature_id, 'det_'||imagery_id||'_'||lower(detection_type)||'_'||n AS detection_id, NULL AS category, NULL AS threshold FROM a UNION ALL SELECT feature_id, NULL, coalesce(reason,'Weak evidence'), thr FROM t WHERE reason IS NOT NULL OR confidence<thr"""))
 def d11(spark, d):
-    f = G.once(D.features(spark, d), bb=G.bbox(F.col("pts")), area=G.planar_area(F.col("pts")), length=G.planar_length(F.col("pts"))).withColumn("longest_edge", F.lit(0.0))
-    good, bad = T.accept_or_reject(f, T.validity_reason_pixel())
-    return good.select("feature_id", "detection_id", F.lit(None).cast("double").alias("threshold")).unionByName(
-        bad.select(F.col("item_id").alias("feature_id"), F.lit(None).cast("string").alias("detection_id"), "threshold")
+    stretched = F.transform("pts", lambda p: G.point(F.col("fx") + (p["x"] - F.col("fx")) * 30.0, p["y"]))
+    f = D.features(spark, d).withColumn("pts", F.when(F.col("is_line") & (F.col("feature_id") % 17 == 3), stretched).otherwise(F.col("pts")))
+    good, bad = T.accept_or_reject(T.feature_facts(f), T.validity_reason_pixel())
+    none = F.lit(None).cast("string")
+    return good.select("feature_id", "detection_id", none.alias("category"), F.lit(None).cast("double").alias("threshold")).unionByName(
+        bad.select(F.col("item_id").alias("feature_id"), none.alias("detection_id"), "category", "threshold")
     )
 
 

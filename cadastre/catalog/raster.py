@@ -222,10 +222,20 @@ def r11(spark, d):
     return R.component_spine(px.select("imagery_id", "x", "y", label.alias("label"))).select("label", "slice", "x", "y")
 
 
-@query("r12_trace_edge_lines")
+# an open line has one pixel more than links; its ends are the pixels with fewer than two links to others of its kind
+@query("r12_trace_edge_lines", sql("pixels", recursive=True, body=IDX + CANNY + """, nx AS (SELECT a.imagery_id, a.x, a.y, b.x AS bx, b.y AS by FROM edge a JOIN edge b ON a.imagery_id=b.imagery_id AND abs(a.x-b.x)<=1 AND abs(a.y-b.y)<=1 AND (a.x<>b.x OR a.y<>b.y)),
+  lk AS (SELECT n.* FROM nx n LEFT JOIN edge p ON p.imagery_id=n.imagery_id AND p.x=n.bx AND p.y=n.y AND n.x<>n.bx AND n.y<>n.by LEFT JOIN edge q ON q.imagery_id=n.imagery_id AND q.x=n.x AND q.y=n.by AND n.x<>n.bx AND n.y<>n.by WHERE p.x IS NULL AND q.x IS NULL),
+  dg AS (SELECT imagery_id, x, y, count(*) AS n FROM lk GROUP BY 1,2,3), ph AS (SELECT e.imagery_id, e.x, e.y FROM edge e LEFT JOIN dg USING (imagery_id, x, y) WHERE coalesce(n,0)<=2),
+  pd AS (SELECT lk.imagery_id, lk.x, lk.y, count(*) AS n FROM lk JOIN ph a ON a.imagery_id=lk.imagery_id AND a.x=lk.x AND a.y=lk.y JOIN ph b ON b.imagery_id=lk.imagery_id AND b.x=lk.bx AND b.y=lk.by GROUP BY 1,2,3)
+  SELECT imagery_id, CAST(sum(2-coalesce(n,0))/2 AS BIGINT) AS open_lines, count(*) AS pixels, CAST(sum((2-coalesce(n,0))*x) AS DOUBLE) AS ends_x, CAST(sum((2-coalesce(n,0))*y) AS DOUBLE) AS ends_y FROM ph LEFT JOIN pd USING (imagery_id, x, y) GROUP BY 1"""))
 def r12(spark, d):
-    lines = R.trace_edge_lines(cut_lineage(R.canny(gradient(spark, d), tile=32)), least=20)
-    return lines.groupBy("imagery_id").agg(F.count("*").alias("lines"), F.sum("path_length").alias("pixels"), F.sum(F.size("pts")).alias("corners"))
+    lines = R.trace_edge_lines(cut_lineage(R.canny(gradient(spark, d), tile=32)), least=1)
+    first, last, is_open = F.element_at("pts", 1), F.element_at("pts", -1), ~F.col("closed")
+
+    def ends(axis):
+        return F.sum(F.when(is_open, first[axis] + last[axis]).otherwise(0.0)).alias(f"ends_{axis}")
+
+    return lines.groupBy("imagery_id").agg(F.count_if(is_open).alias("open_lines"), F.sum("path_length").alias("pixels"), ends("x"), ends("y"))
 
 
 @query("r13_zonal_gradient", sql("pixels", body=IDX + SOBEL + """, ln AS (SELECT DISTINCT l_orderkey//48 AS imagery_id, l_orderkey*10+l_linenumber AS line_id, CAST((l_partkey+k.i*7)%64 AS INT) AS x, CAST((l_suppkey+k.i*5)%48 AS INT) AS y FROM lineitem, (VALUES (0),(1),(2)) k(i) WHERE l_linenumber IN (4,5)),

@@ -182,7 +182,13 @@ def suppress(detections: DataFrame, iou: float = 0.35, ignore: DataFrame | None
         d = d.join(hit, "feature_id", "left_anti")
     slim = boxes(d).select("imagery_id", "feature_id", "confidence", "bb", "area")
     order = F.struct(-F.col("confidence"), F.col("feature_id"))
-    slim = keep_strongest_copies(slim, ["imagery_id", "bb", "area"], order, "feature_id")
+    # copies are folded only where a box suppresses a copy of itself; boxes without extent meet nothing
+    extent = (F.col("bb.xmax") - F.col("bb.xmin")) * (F.col("bb.ymax") - F.col("bb.ymin"))
+    alone = F.coalesce(extent <= 0, F.lit(True))
+    own_share = extent / F.greatest(F.lit(1.0), 2 * F.col("area") - extent)
+    apart = slim.where(alone)
+    loose = slim.where(~alone & (own_share <= iou))
+    slim = keep_strongest_copies(slim.where(~alone & (own_share > iou)), ["imagery_id", "bb", "area"], order, "feature_id").unionByName(loose)
     before = F.struct(-F.col("a_confidence"), F.col("a_feature_id")) < F.struct(-F.col("b_confidence"), F.col("b_feature_id"))
     pairs = overlapping_boxes(slim, slim, ["imagery_id"], once=before, strict=True, cell=128.0)
     a, b = F.col("a_bb"), F.col("b_bb")
@@ -190,19 +196,21 @@ def suppress(detections: DataFrame, iou: float = 0.35, ignore: DataFrame | None
     share = inter / F.greatest(F.lit(1.0), F.col("a_area") + F.col("b_area") - inter)
     dropped = greedy_dropped(pairs.where(share > iou).select(F.col("a_feature_id").alias("strong"), F.col("b_feature_id").alias("weak")))
     kept = slim.join(dropped.withColumnRenamed("id", "feature_id"), "feature_id", "left_anti").select("feature_id")
-    return d.join(kept, "feature_id", "left_semi")
+    return d.join(kept.unionByName(apart.select("feature_id")), "feature_id", "left_semi")
 
 
 def drop_covered_fields(fields: DataFrame, share: float = 0.35) -> DataFrame:
     """A later field goes when one kept earlier field covers more than ``share`` of it."""
     slim = boxes(fields).select("imagery_id", "feature_id", "pts", "bb", "area")
-    slim = keep_strongest_copies(slim, ["imagery_id", "pts"], F.col("feature_id"), "feature_id")
+    # nothing covers a part of a field without area, and it covers no part of another
+    flat = slim.where("area is null or area <= 0").select("feature_id")
+    slim = keep_strongest_copies(slim.where("area > 0"), ["imagery_id", "pts"], F.col("feature_id"), "feature_id")
     pairs = overlapping_boxes(slim, slim, ["imagery_id"], once=F.col("a_feature_id") < F.col("b_feature_id"), strict=True, cell=128.0)
     pairs = G.once(pairs, shared=G.intersection_area(F.col("a_pts"), F.col("b_pts")))
     bad = pairs.where(F.col("shared") > F.col("b_area") * share)
     dropped = greedy_dropped(bad.select(F.col("a_feature_id").alias("strong"), F.col("b_feature_id").alias("weak")))
     kept = slim.join(dropped.withColumnRenamed("id", "feature_id"), "feature_id", "left_anti").select("feature_id")
-    return fields.join(kept, "feature_id", "left_semi")
+    return fields.join(kept.unionByName(flat), "feature_id", "left_semi")
 
 
 def snap_endpoints(roads: DataFrame, tolerance: float = 20.0) -> DataFrame:

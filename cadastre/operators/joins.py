@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cadastre.functions import canonical as C, geom as G
@@ -417,48 +419,63 @@ def settlement_fields(fields: DataFrame, buildings: DataFrame) -> DataFrame:
 def parcels_within_radius(queries: DataFrame, parcels: DataFrame) -> DataFrame:
     """Parcels whose centre is within a radius in metres of a query point.
 
-    ``queries``: query_id, lng, lat, radius_m; ``parcels``: parcel_id, lng, lat. The grid works on
-    degrees scaled to metres; the box of a query widens with latitude.
+    ``queries``: query_id, lng, lat, radius_m; ``parcels``: parcel_id, lng, lat (degrees). A query's box
+    spans the widest meridians its circle touches, all of them where it holds a pole, and is repeated a
+    turn to the east and west where it leaves -180 to 180. Cells grow with the box by powers of four, so a
+    query covers few cells whatever its radius; there are at most ten such sizes.
     """
     scale = G.EARTH_RADIUS_M
-    pts = parcels.select("parcel_id", "lng", "lat", (F.radians("lng") * scale).alias("px"), (F.radians("lat") * scale).alias("py"), F.lit(0).alias("world"))
+    turn = 2 * math.pi * scale
+    pts = parcels.select("parcel_id", "lng", "lat", (F.radians("lng") * scale).alias("px"), (F.radians("lat") * scale).alias("py"))
     x, y = F.radians("lng") * scale, F.radians("lat") * scale
-    wide = F.col("radius_m") / F.cos(F.radians("lat")) * 1.001
-    tall = F.col("radius_m") * 1.001
-    boxes = queries.withColumn("bb", F.struct((x - wide).alias("xmin"), (y - tall).alias("ymin"), (x + wide).alias("xmax"), (y + tall).alias("ymax")))
-    boxes = boxes.select("query_id", F.col("lng").alias("q_lng"), F.col("lat").alias("q_lat"), "radius_m", "bb", F.lit(0).alias("world"))
+    angle = F.col("radius_m") / scale
+    ratio = F.sin(angle) / F.cos(F.radians("lat"))
+    pole = (F.abs(F.radians("lat")) + angle >= math.pi / 2) | (ratio >= 1)
+    wide = F.when(pole, turn / 2).otherwise(F.asin(ratio) * scale) * 1.001 + 0.001
+    tall = F.col("radius_m") * 1.001 + 0.001
+    q = queries.select("query_id", F.col("lng").alias("q_lng"), F.col("lat").alias("q_lat"), "radius_m", x.alias("qx"), y.alias("qy"), wide.alias("wide"), tall.alias("tall"))
+    shifts = F.array_compact(F.array(
+        F.lit(0.0), F.when(F.col("qx") - F.col("wide") < -turn / 2, turn), F.when(F.col("qx") + F.col("wide") > turn / 2, -turn)
+    ))
+    # a full circle needs no copies: one box from border to border holds every meridian
+    whole = F.col("wide") >= turn / 2
+    q = q.withColumn("qx", F.explode(F.when(whole, F.array(F.lit(0.0))).otherwise(F.transform(shifts, lambda s: F.col("qx") + s))))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest("wide", "tall") / 512) / 2)).cast("int")
+    q = q.select("query_id", "q_lng", "q_lat", "radius_m", level.alias("level"), F.struct(
+        (F.col("qx") - F.col("wide")).alias("xmin"), (F.col("qy") - F.col("tall")).alias("ymin"), (F.col("qx") + F.col("wide")).alias("xmax"), (F.col("qy") + F.col("tall")).alias("ymax")
+    ).alias("bb"))
     distance = G.haversine(F.col("q_lng"), F.col("q_lat"), F.col("lng"), F.col("lat"))
-    hits = near(pts, boxes, ["world"], distance <= F.col("radius_m"), reach=0.0, cell=512.0)
-    return hits.select("query_id", "parcel_id", distance.alias("distance_m"))
+    levels = sorted(r.level for r in q.select("level").distinct().collect() if r.level is not None)
+    found = None
+    for n in levels or [0]:
+        here = q.where(F.col("level") == n).drop("level").withColumn("world", F.lit(0))
+        hits = near(pts.withColumn("world", F.lit(0)), here, ["world"], distance <= F.col("radius_m"), reach=0.0, cell=512.0 * 4**n)
+        found = hits if found is None else found.unionByName(hits)
+    return found.select("query_id", "parcel_id", distance.alias("distance_m"))
 
 
-def nearest_parcels(centers: DataFrame, k: int = 3, start: float = 64.0, limit: float = 8192.0) -> DataFrame:
-    """The k nearest other parcels of the same image by centre distance.
+def nearest_parcels(centers: DataFrame, k: int = 3, start: float = 64.0) -> DataFrame:
+    """The k nearest other parcels of the same image by centre distance, all of them where there are fewer.
 
-    Reach doubles until a parcel has k neighbours inside it (then they are exact); only unfinished
-    parcels go on. The rank limit is pushed below the shuffle by the window group limit.
+    Reach grows until a parcel has as many neighbours inside it as its image can give (then they are
+    exact); only unfinished parcels go on, so far reaches are left to few. The rank limit is pushed
+    below the shuffle by the window group limit.
     """
     from cadastre.session import cut_lineage
 
     targets = as_points_box(centers.select("imagery_id", F.col("parcel_id").alias("other_id"), "px", "py"))
-    open_points, reach, done = centers.select("imagery_id", "parcel_id", "px", "py"), start, []
-    while True:
-        last = reach >= limit
+    others = centers.where("px is not null and py is not null").groupBy("imagery_id").agg(F.least(F.lit(k), F.count("*") - 1).alias("wanted"))
+    placed = centers.where("px is not null and py is not null").select("imagery_id", "parcel_id", "px", "py")
+    open_points = cut_lineage(placed.join(others.where("wanted > 0"), "imagery_id"))
+    out, reach = None, start
+    while out is None or not open_points.isEmpty():
         pairs = near(open_points, targets, ["imagery_id"], (F.col("parcel_id") != F.col("other_id")) & (point_distance() <= reach), reach=reach)
         rank = F.row_number().over(Window.partitionBy("parcel_id").orderBy("distance", "other_id"))
-        top = pairs.select("parcel_id", "other_id", point_distance().alias("distance")).withColumn("rank", rank).where(F.col("rank") <= k)
-        full = top if last else top.join(top.where(F.col("rank") == k).select("parcel_id"), "parcel_id", "left_semi")
-        full = cut_lineage(full)
-        done.append(full)
-        if last:
-            break
+        top = pairs.select("parcel_id", "other_id", "wanted", point_distance().alias("distance")).withColumn("rank", rank).where(F.col("rank") <= k)
+        full = cut_lineage(top.join(top.where(F.col("rank") == F.col("wanted")).select("parcel_id"), "parcel_id", "left_semi").drop("wanted"))
+        out = full if out is None else out.unionByName(full)
         open_points = cut_lineage(open_points.join(full.select("parcel_id").distinct(), "parcel_id", "left_anti"))
-        if open_points.isEmpty():
-            break
         reach *= 2 if reach < 512 else 4
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
     return out
 
 

@@ -7,11 +7,7 @@ its checkpoint. ``replay`` runs a stream over the files present and returns what
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cadastre.operators import history as H
 from cadastre.session import ensure_checkpoint_dir
@@ -46,23 +42,39 @@ def job_progress(updates: DataFrame) -> DataFrame:
     return g.select("job_id", "last.status", "last.progress", F.col("last.ts").alias("updated_at"), "log_lines")
 
 
-def versions(events: DataFrame) -> DataFrame:
-    """Gap-free version numbers per parcel, kept in keyed state across batches."""
-    out = "event_id long, parcel_id long, ts timestamp_ntz, action string, version_number long"
-
-    def number(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        done = state.get[0] if state.exists else 0
-        rows["version_number"] = range(done + 1, done + len(rows) + 1)
-        state.update((done + len(rows),))
-        yield rows[["event_id", "parcel_id", "ts", "action", "version_number"]]
+def versions(events: DataFrame, name: str = "versions") -> DataFrame:
+    """Gap-free version numbers per parcel over the available files, as ``number_rows`` gives them in batch.
 
+    Every batch stores its events in a partition of its own, then numbers the stored events of the
+    parcels it touched anew, so a late event moves the later versions up. A repeated batch overwrites what
+    it wrote and an event that comes twice counts once. Returns the latest number of every event.
+    """
+    spark = events.sparkSession
+    path = scratch(spark, name)
     slim = events.select("event_id", "parcel_id", "ts", "action")
-    return slim.groupBy("parcel_id").applyInPandasWithState(number, out, "n long", "append", GroupStateTimeout.NoTimeout)
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/events/batch={batch_id}")
+        stored = session.read.parquet(f"{path}/events").where(F.col("batch") <= batch_id)
+        touched = session.read.parquet(f"{path}/events/batch={batch_id}").select("parcel_id").distinct()
+        again = stored.join(touched, "parcel_id", "left_semi").drop("batch").dropDuplicates(["event_id"])
+        numbered = H.number_rows(again, ["parcel_id"], ["ts", "event_id"], F.date_trunc("day", "ts")).withColumnRenamed("number", "version_number")
+        numbered.write.mode("overwrite").parquet(f"{path}/versions/batch={batch_id}")
+
+    writer = slim.writeStream.option("checkpointLocation", path + "/offsets").trigger(availableNow=True)
+    writer.foreachBatch(save).start().awaitTermination()
+    written = spark.read.parquet(path + "/versions")
+    latest = F.max_by(F.struct("parcel_id", "ts", "action", "version_number"), "batch")
+    return written.groupBy("event_id").agg(latest.alias("v")).select("event_id", "v.*")
 
 
 def activity_counts(activities: DataFrame, delay: str = "2 hours", width: str = "1 hour") -> DataFrame:
-    """Tumbling counts per type of deduplicated activities; windows close with the watermark."""
+    """Tumbling counts per type of deduplicated activities; state is dropped behind the watermark.
+
+    In update mode (``replay`` with the key) open windows come out with what they hold so far; in append
+    mode a window comes out once, when the watermark has passed it.
+    """
     fresh = activities.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["activity_id"])
     counted = fresh.groupBy(F.window("ts", width).alias("w"), "type").agg(F.count("*").alias("n"))
     return counted.select(F.col("w.start").alias("window_start"), "type", "n")

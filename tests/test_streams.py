@@ -24,13 +24,19 @@ def test_current_state_over_files(spark, small, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.select(*got.columns).collect()))
 
 
-def test_versions_continue_across_batches(spark, small, tmp_path):
-    got = T.replay(T.versions(split_events(spark, small, str(tmp_path / "e"))), "v")
-    rows = {}
-    for r in got.collect():
-        rows.setdefault(r.parcel_id, []).append(r.version_number)
-    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in rows.values())
-    assert got.count() == D.events(spark, small).count()
+def test_versions_equal_the_batch_numbers(spark, small, tmp_path):
+    got = T.versions(split_events(spark, small, str(tmp_path / "e")))
+    batch = H.number_events(D.events(spark, small)).select("event_id", "version_number")
+    assert sorted(map(tuple, got.select("event_id", "version_number").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_a_late_event_moves_later_versions(spark, tmp_path):
+    path = str(tmp_path / "e")
+    for rows in ([(1, 7, "2024-01-02 00:00:00", "Edited")], [(2, 7, "2024-01-01 00:00:00", "Edited"), (1, 7, "2024-01-02 00:00:00", "Edited")]):
+        df = spark.createDataFrame(rows, "event_id long, parcel_id long, ts string, action string")
+        df.withColumn("ts", F.to_timestamp_ntz("ts")).coalesce(1).write.mode("append").parquet(path)
+    got = T.versions(T.read_table_stream(spark, path))
+    assert {(r.event_id, r.version_number) for r in got.collect()} == {(2, 1), (1, 2)}
 
 
 def test_duplicates_are_dropped_within_the_watermark(spark, small, tmp_path):
