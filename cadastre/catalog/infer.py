@@ -136,9 +136,25 @@ def scored_parcels(spark, d):
     )
 
 
-@query("p08_select_disjoint")
+# quads lean by five pixels on their left side; convex shapes are apart when one of their sides' normals parts them
+LEANS = "({a}.h*({b}.x0+{b}.w)-5*{b}.y0 < {a}.h*{a}.x0-5*{a}.y0 OR {a}.h*({a}.x0+{a}.w)-5*{a}.y0 < least({a}.h*{b}.x0-5*{b}.y0, {a}.h*({b}.x0+5)-5*({b}.y0+{b}.h)))"
+QUADS_MEET = f"a.x0<=b.x0+b.w AND b.x0<=a.x0+a.w AND a.y0<=b.y0+b.h AND b.y0<=a.y0+a.h AND NOT {LEANS.format(a='a', b='b')} AND NOT {LEANS.format(a='b', b='a')}"
+
+
+@query("p08_select_disjoint", sql("parcels", body=f""", c AS (SELECT imagery_id, parcel_id AS id, x0, y0, w, h, 40+parcel_id*7%57 AS sup, parcel_id*31%1000/1000e0 AS score FROM parcels WHERE shape<>'bowtie'),
+  o AS (SELECT *, CASE WHEN sup>=58 THEN 0 WHEN sup>=50 THEN 1 ELSE 2 END AS tier FROM c),
+  mt AS MATERIALIZED (SELECT a.id AS s, b.id AS w FROM o a JOIN o b ON a.imagery_id=b.imagery_id AND a.id<>b.id AND a.sup>=45 AND b.sup>=45 AND (a.tier<b.tier OR (a.tier=b.tier AND (a.score>b.score OR (a.score=b.score AND a.id<b.id)))) AND {QUADS_MEET}),
+  pairs AS (SELECT s, w FROM mt)""" + greedy_sql() + """,
+  ch AS (SELECT *, CASE WHEN sup>=50 THEN 'ACCEPTED' ELSE 'REVIEW' END AS status FROM o WHERE sup>=45 AND id NOT IN (SELECT id FROM dropped))
+  SELECT imagery_id, id AS feature_id, status AS candidate_status, CAST(row_number() OVER (PARTITION BY imagery_id, status ORDER BY tier, score DESC, id) AS INT) AS pick, sup AS supported_pct, NULL AS reason FROM ch
+  UNION ALL SELECT imagery_id, id, 'LEFT', NULL, sup, CASE WHEN sup<45 THEN 'Weak evidence' ELSE 'Meets a chosen candidate' END FROM o WHERE id NOT IN (SELECT id FROM ch)
+  UNION ALL SELECT imagery_id, parcel_id, 'REFUSED', NULL, 40+parcel_id*7%57, 'Crossing ring' FROM parcels WHERE shape='bowtie'"""))
 def p08(spark, d):
-    return I.select_disjoint(scored_parcels(spark, d)).select("imagery_id", "feature_id", "candidate_status", "pick", "supported_pct")
+    s = I.select_disjoint(scored_parcels(spark, d)).select("imagery_id", "feature_id", "candidate_status", "pick", "supported_pct", "reason")
+    crossing = D.parcels(spark, d).where("shape = 'bowtie'").selectExpr(
+        "imagery_id", "parcel_id AS feature_id", "'REFUSED' AS candidate_status", "CAST(NULL AS INT) AS pick", "CAST(40 + parcel_id * 7 % 57 AS INT) AS supported_pct", "'Crossing ring' AS reason"
+    )
+    return s.unionByName(crossing)
 
 
 @query("p09_evidence_score", sql("edges", "fedges", "parcels", body=f""", pe AS (SELECT parcel_id, imagery_id, seq, sqrt(pow(x2-x1,2)+pow(y2-y1,2)) AS len, (x1+x2)/2 AS px, (y1+y2)/2 AS py FROM edges),
