@@ -87,12 +87,13 @@ def m18(spark, d):
     return quads(spark, d).select("parcel_id", G.js_round(G.planar_area(S.squared(F.col("ring"), 22.0)), 3).alias("area"))
 
 
-@query("m20_split_parcels", sql("parcels", body="""SELECT parcel_id, CASE WHEN w>h THEN w/2e0*h ELSE (2*w-2.5e0)/2*h/2 END AS area_a, CASE WHEN w>h THEN (2*w-5)*h/2e0-w/2e0*h ELSE (2*w-7.5e0)/2*h/2 END AS area_b
-  FROM parcels WHERE shape<>'bowtie'"""))
+@query("m20_split_parcels", sql("parcels", body="""SELECT parcel_id, CASE WHEN w>h THEN w/2e0*h ELSE (2*w-2.5e0)/2*h/2 END AS area_a, CASE WHEN w>h THEN (2*w-5)*h/2e0-w/2e0*h ELSE (2*w-7.5e0)/2*h/2 END AS area_b, NULL AS split_error
+  FROM parcels WHERE shape<>'bowtie' UNION ALL SELECT parcel_id, CASE WHEN w<=h THEN w*h/4e0 END, CASE WHEN w<=h THEN w*h/4e0 END, CASE WHEN w>h THEN 'Invalid split line — draw a line that crosses the selected parcel.' END FROM parcels WHERE shape='bowtie'"""))
 def m20(spark, d):
-    p = M.repair_rings(D.parcels(spark, d).where("shape <> 'bowtie'")).withColumn("cut", F.lit(None).cast("array<struct<x:double,y:double>>"))
-    s = P.split_rings(p).where("split_error IS NULL")
-    return s.select("parcel_id", G.js_round(G.planar_area(F.col("ring_a")), 4).alias("area_a"), G.js_round(G.planar_area(F.col("ring_b")), 4).alias("area_b"))
+    p = M.repair_rings(D.parcels(spark, d)).withColumn("cut", F.lit(None).cast("array<struct<x:double,y:double>>"))
+    s = P.split_rings(p)
+    areas = [F.when(F.col("split_error").isNull(), G.js_round(G.planar_area(F.col(r)), 4)).alias(a) for r, a in (("ring_a", "area_a"), ("ring_b", "area_b"))]
+    return s.select("parcel_id", *areas, "split_error")
 
 
 @query("m21_merge_parcels", sql("parcels", body="""SELECT parcel_id, CASE parcel_id%3 WHEN 0 THEN (2*w-5)*h/2e0+30*h WHEN 1 THEN (2*w-5)*h/2e0+20*h ELSE (2*(w+55)-5)*h/2e0 END AS area FROM parcels"""))

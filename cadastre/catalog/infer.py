@@ -99,8 +99,10 @@ def p05(spark, d):
 def p06(spark, d):
     ev, network = network_of(spark, d)
     fields = ev.fields.select("imagery_id", F.col("pts").alias("ring"))
-    kept, _ = I.holding_candidates(ev, network, D.imagery(spark, d), fields)
-    return kept.select("imagery_id", "feature_id", "block_id", "enclosed", "candidate_status", "confidence", "supported_pct", G.js_round(F.col("area")).alias("area"))
+    kept, rejected = I.holding_candidates(ev, network, D.imagery(spark, d), fields)
+    return kept.select("imagery_id", "feature_id", "block_id", "enclosed", "candidate_status", "confidence", "supported_pct", G.js_round(F.col("area")).alias("area")).unionByName(
+        rejected.select("imagery_id", F.col("item_id").alias("feature_id"), F.col("category").alias("rejected")), allowMissingColumns=True
+    )
 
 
 @query("j20_assign_to_road", sql("fvertices", "fedges", body=f""", bc AS (SELECT feature_id, imagery_id, avg(x) AS px, avg(y) AS py FROM fvertices WHERE detection_type='BUILDING' GROUP BY 1,2),
@@ -244,7 +246,7 @@ def water_of(spark, d):
 
 @query("w07_apply_splits")
 def w07(spark, d):
-    p = pixel_parcels(spark, d).where("shape <> 'bowtie'").select("parcel_id", "project_id", "imagery_id", "mode", "clean", "confidence")
+    p = pixel_parcels(spark, d).select("parcel_id", "project_id", "imagery_id", "mode", "clean", "confidence")
     requests = p.select("parcel_id", F.lit(None).cast("array<struct<x:double,y:double>>").alias("cut"))
     children, rejected, _ = E.apply_splits(requests, p, water_of(spark, d), D.features(spark, d))
     return children.select("parcel_id", "status", "source", "area_px", "supported_pct", F.lit(None).cast("string").alias("reason")).unionByName(
@@ -265,15 +267,15 @@ def w08(spark, d):
     return parcels.select("parcel_id", "status")
 
 
-@query("w09_apply_merges", sql("parcels", body=""", l AS (SELECT * FROM parcels WHERE parcel_id%2=0)
-  SELECT parcel_id, parcel_id+1 AS target_id, CAST(floor(CASE parcel_id%3 WHEN 0 THEN (2*w-5)*h/2e0+30*h WHEN 1 THEN (2*w-5)*h/2e0+20*h ELSE (2*(w+55)-5)*h/2e0 END+1e-6+0.5) AS BIGINT) AS area_px, 'Merged from '||parcel_id||' + '||(parcel_id+1) AS source FROM l"""))
+@query("w09_apply_merges", sql("parcels", body=""" SELECT parcel_id, parcel_id+1000000000000 AS target_id, CAST(floor(CASE parcel_id%3 WHEN 0 THEN (2*w-5)*h/2e0+30*h WHEN 1 THEN (2*w-5)*h/2e0+20*h ELSE (2*(w+55)-5)*h/2e0 END+1e-6+0.5) AS BIGINT) AS area_px, 'Merged from '||parcel_id||' + '||(parcel_id+1000000000000) AS source FROM parcels"""))
 def w09(spark, d):
     x, y, w, h, k = F.col("x0"), F.col("y0"), F.col("w"), F.col("h"), F.col("parcel_id") % 3
-    q = quads(spark, d).where("parcel_id % 2 = 0")
+    q = quads(spark, d)
+    target = F.col("parcel_id") + 1000000000000
     left = x + w + F.when(k == 0, 0).when(k == 1, -10).otherwise(25)
     own = q.select("parcel_id", "project_id", "imagery_id", F.lit("image").alias("mode"), F.col("ring").alias("clean"))
-    other = q.select((F.col("parcel_id") + 1).alias("parcel_id"), "project_id", "imagery_id", F.lit("image").alias("mode"), G.ring((left, y), (left + 30, y), (left + 30, y + h), (left, y + h), (left, y)).alias("clean"))
-    requests = own.select("parcel_id", (F.col("parcel_id") + 1).alias("target_id"))
+    other = q.select(target.alias("parcel_id"), "project_id", "imagery_id", F.lit("image").alias("mode"), G.ring((left, y), (left + 30, y), (left + 30, y + h), (left, y + h), (left, y)).alias("clean"))
+    requests = own.select("parcel_id", target.alias("target_id"))
     done, _, _ = E.apply_merges(requests, own.unionByName(other), D.features(spark, d))
     return done.select("parcel_id", "target_id", G.js_round(G.planar_area(F.col("ring")) + 1e-6).alias("area_px"), "source")
 
