@@ -3,11 +3,11 @@
 Benchmark items are cut into passages of at most ``PASSAGE`` words and weighted by TF-IDF with document
 counts over the whole corpus. A randomised SVD, whose products with the passage matrix Spark sums over
 partitions, gives the latent space. Every document is read whole through overlapping windows; a window
-is projected, and its cosine to all passages of a block finds candidates. A bound on that cosine, the
-sum of each word's weight times its largest weight in any projected passage, spares windows that cannot
-reach the threshold and never drops one that can. A candidate counts when the longest common subsequence
-of item and surrounding words covers ``LCS`` of the item and ``ANSWER`` of the item's last sentence, or
-``COPIED`` of the item.
+is projected, and its cosine to a passage finds candidates. The threshold is ``COSINE`` or, where lower,
+the smallest cosine of a window that holds ``LCS`` of the passage's words, the commonest ones. A candidate
+counts when the longest common subsequence of item and surrounding words covers ``LCS`` of the item and
+``ANSWER`` of the item's last sentence, or ``COPIED`` of the item. Regions of a document in which too few
+of an item's words occur at all to pass this check are not projected for it, which drops nothing.
 
 The benchmark is a stated query set: its passages go in blocks of ``BLOCK``, each with its own space, and
 only models of bounded size are broadcast. Null and empty texts match nothing; items without words are
@@ -35,8 +35,10 @@ WINDOWS = ((12, 16, 4), (24, 32, 8), (48, 64, 16))
 #: passages of a block, rank and oversampling of its space, power iterations
 BLOCK = 400
 RANK, OVER, POWER = 320, 8, 2
-#: cosine from which a passage is a candidate
-COSINE = 0.3
+#: cosine from which any passage is a candidate; a passage of common words is one from less
+COSINE = 0.25
+#: window starts of a region, at least
+REGION = 256
 #: parts of an item, and of its last sentence, that the common subsequence covers
 LCS, ANSWER, COPIED = 0.6, 0.5, 0.8
 
@@ -66,12 +68,44 @@ class Item:
 class Block:
     """Projected passages of up to ``BLOCK`` passages, by window class."""
 
-    items: list[Item]
     owner: np.ndarray  # item of each passage
     window: np.ndarray  # window class of each passage
     basis: np.ndarray = field(repr=False)  # one latent row for each word
     latent: np.ndarray = field(repr=False)
-    most: np.ndarray = field(repr=False)  # per class and word the largest weight in a projected passage
+    need: np.ndarray = field(repr=False)  # least product of each passage and a window that holds LCS of it
+    lost: np.ndarray = field(repr=False)  # norm of each passage outside the space
+
+
+class Presence:
+    """Which items of at most ``margin`` words can pass the sequence check in a region, by the words that occur at all."""
+
+    def __init__(self, margin: int, at: list[int], items: list[Item], vocabulary: dict[bytes, int]):
+        self.margin, self.at = margin, np.array(at)
+        self.words, self.first, self.count = self.laid([items[k].words for k in at], vocabulary)
+        self.answers, self.answer_first, self.answer_count = self.laid([items[k].answer for k in at], vocabulary)
+
+    @staticmethod
+    def laid(lists: list[list[bytes]], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        count = np.array([len(w) for w in lists])
+        return np.array([vocabulary[w] for ws in lists for w in ws]), np.cumsum(count) - count, count
+
+    def able(self, held: np.ndarray) -> np.ndarray:
+        """Items that can pass, given for each word of the vocabulary whether it occurs."""
+        cover = np.add.reduceat(held.take(self.words), self.first, dtype=np.int32) / self.count
+        if not (near := cover >= LCS).any():
+            return self.at[:0]
+        answer = np.add.reduceat(held.take(self.answers), self.answer_first, dtype=np.int32) / self.answer_count
+        return self.at[(cover >= COPIED) | near & (answer >= ANSWER)]
+
+
+@dataclass
+class Model:
+    items: list[Item]
+    vocabulary: dict[bytes, int]
+    idf: np.ndarray  # of each word
+    other: float  # IDF of words outside the vocabulary
+    blocks: list[Block]
+    presence: list[Presence]
 
 
 def parse(item_id: object, text: str | None) -> Item:
@@ -141,14 +175,20 @@ def latent_space(spark, rows: list[tuple[list[int], list[float]]], width: int, r
     return (q @ vectors[:, ::-1][:, :k]).astype(np.float32)
 
 
-def build(docs: DataFrame, benchmark: DataFrame, *, text: str, item_key: str, item_text: str) -> tuple[dict[bytes, int], np.ndarray, float, list[Block]]:
-    """Vocabulary, IDF of its words, IDF of other words, and the blocks."""
+def least_product(words: list[bytes], vocabulary: dict[bytes, int], idf: np.ndarray) -> float:
+    """Least product of a passage of norm 1 and a window that holds ``LCS`` of its words."""
+    at = [vocabulary[w] for w in words]
+    squares = np.sort(idf[at] ** 2)
+    return float(squares[: math.ceil(LCS * len(words) - 1e-9)].sum() / np.linalg.norm(np.bincount(at) * idf[: max(at) + 1]))
+
+
+def build(docs: DataFrame, benchmark: DataFrame, *, text: str, item_key: str, item_text: str) -> Model:
     spark = docs.sparkSession
     items = [i for r in benchmark.select(item_key, item_text).orderBy(item_key, item_text).collect() if (i := parse(r[0], r[1])).words]
     cut = passages(items)
     vocabulary = {w: k for k, w in enumerate(sorted({w for _, p in cut for w in p}))}
     if not vocabulary:
-        return {}, np.zeros(0), 0.0, []
+        return Model([], {}, np.zeros(0), 0.0, [], [])
     total, counts = document_counts(docs.select(whole_text(text).cast("binary").alias("t")), vocabulary)
     idf = np.log((total + 1) / (counts + 0.5)).clip(0.05)
     other = float(np.median(idf))
@@ -164,62 +204,90 @@ def build(docs: DataFrame, benchmark: DataFrame, *, text: str, item_key: str, it
         basis = latent_space(spark, rows, len(vocabulary))
         latent = dense @ basis
         window = np.array([next(c for c, (most, _, _) in enumerate(WINDOWS) if len(words) <= most) for _, words in own])
-        projected = np.abs(latent @ basis.T)
-        most = np.stack([projected[window == c].max(axis=0) if (window == c).any() else np.zeros(len(vocabulary)) for c in range(len(WINDOWS))])
-        blocks.append(Block(items, np.array([k for k, _ in own]), window, basis, latent, most))
-    return vocabulary, idf, other, blocks
+        need = np.array([least_product(words, vocabulary, idf) for _, words in own])
+        lost = np.sqrt((1 - (latent.astype(float) ** 2).sum(axis=1)).clip(0))
+        blocks.append(Block(np.array([k for k, _ in own]), window, basis, latent, need, lost))
+    by_margin: dict[int, list[int]] = {}
+    for k, item in enumerate(items):
+        by_margin.setdefault(max(16, 1 << (len(item.words) - 1).bit_length()), []).append(k)
+    return Model(items, vocabulary, idf, other, blocks, [Presence(m, at, items, vocabulary) for m, at in sorted(by_margin.items())])
 
 
-def scan(text: bytes, vocabulary: dict[bytes, int], idf: np.ndarray, other: float, blocks: list[Block]) -> list[tuple[object, float, float, float, int]]:
+def scan(text: bytes, model: Model) -> list[tuple[object, float, float, float, int]]:
     """(item, cosine, LCS part, answer part, first word) of the items found in a text, best cover of each."""
     words = plain_words(text)
     n = len(words)
-    if not n or not vocabulary:
+    if not n or not model.vocabulary:
         return []
-    ids = np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int64, n)
+    ids = np.fromiter(map(model.vocabulary.get, words, repeat(-1)), np.int64, n)
     known = ids >= 0
     if not known.any():
         return []
-    weight = np.where(known, idf[ids], other)
+    weight = np.where(known, model.idf[ids], model.other)
     energy = np.concatenate(([0.0], np.cumsum(weight * weight)))
+    held = np.zeros(len(model.vocabulary) + 1, bool)  # the last place is of words outside the vocabulary
+    longest = max(length for _, length, _ in WINDOWS)
     best: dict[int, tuple[float, float, float, int]] = {}
-    for block in blocks:
+    for presence in model.presence:
+        size = max(REGION, presence.margin)
+        for first in range(0, n, size):
+            inside = ids[max(0, first - presence.margin) : first + size + longest + presence.margin]
+            held[inside] = True
+            able = presence.able(held)
+            held[inside] = False
+            if len(able):
+                judge(words, ids, weight, energy, first, min(n, first + size), able, model, best)
+    return [(model.items[k].id, *best[k]) for k in sorted(best)]
+
+
+def judge(words: list[bytes], ids: np.ndarray, weight: np.ndarray, energy: np.ndarray, first: int, last: int, able: np.ndarray, model: Model, best: dict) -> None:
+    """Compares the windows that start in first..last with the passages of some items."""
+    n = len(words)
+    stop = min(n, last + max(length for _, length, _ in WINDOWS))
+    known = np.flatnonzero(ids[first:stop] >= 0)
+    wanted = np.zeros(len(model.items), bool)
+    wanted[able] = True
+    for block in model.blocks:
+        mine = np.flatnonzero(wanted[block.owner])
+        if not len(mine):
+            continue
+        rows = block.basis[ids[first + known]]
         for c, (_, length, step) in enumerate(WINDOWS):
-            own = np.flatnonzero(block.window == c)
-            if not len(own):
+            own = mine[block.window[mine] == c]
+            starts = np.arange(-(-first // step) * step, min(last, max(1, n - length + step)), step)
+            if not len(own) or not len(starts):
                 continue
-            reach = np.concatenate(([0.0], np.cumsum(np.where(known, weight * block.most[c][ids], 0.0))))
-            starts = np.arange(0, max(1, n - length + step), step)
             ends = np.minimum(starts + length, n)
+            products = np.zeros((len(own), stop - first + 1))
+            products[:, known + 1] = (block.latent[own] @ rows.T) * weight[first + known]
+            products = np.cumsum(products, axis=1)
             norm = np.sqrt(energy[ends] - energy[starts])
-            able = np.flatnonzero(reach[ends] - reach[starts] >= COSINE * norm * 0.999)
-            for a, e, size in zip(starts[able].tolist(), ends[able].tolist(), norm[able].tolist()):
-                inside = known[a:e]
-                z = weight[a:e][inside] @ block.basis[ids[a:e][inside]]
-                cosine = block.latent[own] @ z / size
-                for k in np.flatnonzero(cosine >= COSINE).tolist():
-                    item_at = int(block.owner[own[k]])
-                    item = block.items[item_at]
-                    around = words[max(0, a - len(item.words)) : e + len(item.words)]
-                    # no common subsequence is longer than the number of item words that occur at all
-                    if sum(map(set(around).__contains__, item.words)) < LCS * len(item.words):
-                        continue
-                    cover = subsequence(item.words, around) / len(item.words)
-                    answer = subsequence(item.answer, around) / len(item.answer)
-                    if (cover >= COPIED or cover >= LCS and answer >= ANSWER) and cover > best.get(item_at, (0, 0.0))[1]:
-                        best[item_at] = float(cosine[k]), cover, answer, a
-    return [(blocks[0].items[k].id, *best[k]) for k in sorted(best)]
+            cosine = (products[:, ends - first] - products[:, starts - first]) / norm
+            enough = np.minimum(COSINE, block.need[own, None] / norm - block.lost[own, None])
+            for j, k in np.argwhere((cosine >= enough - 1e-5).T).tolist():
+                a, e = int(starts[j]), int(ends[j])
+                item_at = int(block.owner[own[k]])
+                item = model.items[item_at]
+                around = words[max(0, a - len(item.words)) : e + len(item.words)]
+                # no common subsequence is longer than the number of item words that occur at all
+                most = sum(map(set(around).__contains__, item.words)) / len(item.words)
+                so_far = best.get(item_at, (0, 0.0, 0.0, 0))
+                if most < LCS or (most, -a) <= (so_far[1], -so_far[3]):
+                    continue
+                cover = subsequence(item.words, around) / len(item.words)
+                answer = subsequence(item.answer, around) / len(item.answer)
+                if (cover >= COPIED or cover >= LCS and answer >= ANSWER) and (cover, -a) > (so_far[1], -so_far[3]):
+                    best[item_at] = float(cosine[k, j]), cover, answer, a
 
 
 def search(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, cosine, lcs, answer, at_word) for every benchmark item found in a document."""
-    vocabulary, idf, other, blocks = build(docs, benchmark, text=text, item_key=item_key, item_text=item_text)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, idf, other, blocks))
+    shared = docs.sparkSession.sparkContext.broadcast(build(docs, benchmark, text=text, item_key=item_key, item_text=item_text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in in_chunks(batch.column(1)):
-                rows = [(first + k, *found) for k, t in enumerate(texts) for found in scan(t, *shared.value)]
+                rows = [(first + k, *found) for k, t in enumerate(texts) for found in scan(t, shared.value)]
                 if rows:
                     at, *columns = zip(*rows)
                     values = [pa.array(c, t) for c, t in zip(columns, (item_type, pa.float64(), pa.float64(), pa.float64(), pa.int64()))]

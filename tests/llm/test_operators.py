@@ -273,6 +273,38 @@ def test_decontamination(spark, awkward, nothing):
     assert decontaminate.subsequence(list("abcbdab"), list("bdcaba")) == 4
 
 
+def reworded_plants(items, keep, seed, hosts):
+    """(doc_id, item_id, text): each item between other words, words replaced at random, those that still pass the sequence check."""
+    r = random.Random(seed)
+    out = []
+    for item_id, text in items:
+        item = decontaminate.parse(item_id, text)
+        new = [w if r.random() < keep else f"new{r.randint(0, 9999)}".encode() for w in item.words]
+        if decontaminate.subsequence(item.words, new) >= 0.6 * len(item.words) and decontaminate.subsequence(item.answer, new) >= 0.5 * len(item.answer):
+            host = hosts(r)
+            at = r.randint(0, len(host))
+            out.append((len(out), item_id, " ".join([*host[:at], b" ".join(new).decode(), *host[at:]])))
+    return out
+
+
+def test_decontamination_finds_common_words(spark):
+    """Copies that keep only the commonest words of an item pass the sequence check at a small cosine."""
+    r = random.Random(11)
+    common = WORDS[:40]
+    items = []
+    for k in range(40):
+        kept = [r.choice(common) for _ in range(16)]
+        rare = {a: f"rare{k}x{a}" for a in r.sample(range(16), 5)}
+        words = [rare.get(a, w) for a, w in enumerate(kept)]
+        items.append((k, " ".join(words), " ".join(f"other{k}x{a}" if a in rare else w for a, w in enumerate(words))))
+    docs = [(k, f"{prose(k, 60)} {changed} {prose(100 + k, 60)}") for k, _, changed in items] + [(1000 + k, " ".join(r.choice(common) for _ in range(40))) for k in range(300)]
+    bench = spark.createDataFrame([(k, text) for k, text, _ in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.search(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert {(k, k) for k in range(40)} <= got
+    words = {k: decontaminate.plain_words(t.encode()) for k, t in docs}
+    assert all(decontaminate.subsequence(decontaminate.plain_words(items[i][1].encode()), words[d]) >= 0.6 * 16 for d, i in got)
+
+
 def test_pipeline_on_awkward_rows(spark, awkward, small):
     import corpus_pipeline
 
