@@ -2,12 +2,14 @@
 
 Benchmark items are cut into passages of at most ``PASSAGE`` words and weighted by TF-IDF with document
 counts over the whole corpus. A randomised SVD, whose products with the passage matrix Spark sums over
-partitions, gives the latent space. Every document is read whole through overlapping windows; a window
-is projected, and its cosine to a passage finds candidates. The threshold is ``COSINE`` or, where lower,
-the smallest cosine of a window that holds ``LCS`` of the passage's words, the commonest ones. A candidate
-counts when the longest common subsequence of item and surrounding words covers ``LCS`` of the item and
-``ANSWER`` of the item's last sentence, or ``COPIED`` of the item. Regions of a document in which too few
-of an item's words occur at all to pass this check are not projected for it, which drops nothing.
+partitions, gives the latent space, of the smallest rank at which every passage keeps ``KEPT`` of its
+squared norm; passages have norm 1 in it, whatever the rank. Every document is read whole through
+overlapping windows; a window is projected, and its cosine to a passage finds candidates. The threshold
+is ``COSINE`` or, where lower, the smallest cosine of a window that holds ``LCS`` of the passage's words,
+the commonest ones. A candidate counts when the longest common subsequence of item and surrounding words
+covers ``LCS`` of the item and ``ANSWER`` of the item's last sentence, or ``COPIED`` of the item. Regions
+of a document in which too few of an item's words occur at all to pass this check are not projected for
+it, which drops nothing.
 
 The benchmark is a stated query set: its passages go in blocks of ``BLOCK``, each with its own space, and
 only models of bounded size are broadcast. Null and empty texts match nothing; items without words are
@@ -32,9 +34,11 @@ from cadastre.session import cut_lineage
 #: words of a passage, and (most words of a passage, window, step) of each window class
 PASSAGE = 48
 WINDOWS = ((12, 16, 4), (24, 32, 8), (48, 64, 16))
-#: passages of a block, rank and oversampling of its space, power iterations
+#: passages of a block, oversampling of its space, power iterations
 BLOCK = 400
-RANK, OVER, POWER = 320, 8, 2
+OVER, POWER = 8, 2
+#: part of its squared norm that every passage keeps in the space of its block
+KEPT = 0.95
 #: cosine from which any passage is a candidate; a passage of common words is one from less
 COSINE = 0.25
 #: window starts of a region, at least
@@ -71,9 +75,9 @@ class Block:
     owner: np.ndarray  # item of each passage
     window: np.ndarray  # window class of each passage
     basis: np.ndarray = field(repr=False)  # one latent row for each word
-    latent: np.ndarray = field(repr=False)
-    need: np.ndarray = field(repr=False)  # least product of each passage and a window that holds LCS of it
-    lost: np.ndarray = field(repr=False)  # norm of each passage outside the space
+    latent: np.ndarray = field(repr=False)  # passages of norm 1 in the space
+    need: np.ndarray = field(repr=False)  # least product of each passage and a window that holds LCS of it, by the norm kept
+    lost: np.ndarray = field(repr=False)  # norm of each passage outside the space, by the norm kept
 
 
 class Presence:
@@ -145,9 +149,9 @@ def document_counts(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[int,
     return int(n[w < 0].sum()), counts
 
 
-def latent_space(spark, rows: list[tuple[list[int], list[float]]], width: int, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors (width x rank) of sparse rows, by randomised subspace iteration on Spark."""
-    k = min(rank, len(rows), width)
+def latent_space(spark, rows: list[tuple[list[int], list[float]]], width: int) -> np.ndarray:
+    """All right singular vectors of sparse rows, largest first, by randomised subspace iteration on Spark."""
+    k = min(len(rows), width)
     y = np.random.default_rng(5).standard_normal((width, min(width, k + OVER)))
     matrix = spark.createDataFrame(rows, "at array<int>, x array<double>").repartition(4)
     matrix = cut_lineage(matrix)
@@ -203,10 +207,15 @@ def build(docs: DataFrame, benchmark: DataFrame, *, text: str, item_key: str, it
         rows = [(np.flatnonzero(r).tolist(), r[np.flatnonzero(r)].astype(float).tolist()) for r in dense]
         basis = latent_space(spark, rows, len(vocabulary))
         latent = dense @ basis
+        part = np.cumsum(latent.astype(float) ** 2, axis=1).min(axis=0)
+        rank = min(int(np.searchsorted(part, KEPT)) + 1, len(part))
+        basis, latent = np.ascontiguousarray(basis[:, :rank]), latent[:, :rank]
+        norm = np.linalg.norm(latent, axis=1, keepdims=True)
+        latent = latent / norm
         window = np.array([next(c for c, (most, _, _) in enumerate(WINDOWS) if len(words) <= most) for _, words in own])
         need = np.array([least_product(words, vocabulary, idf) for _, words in own])
-        lost = np.sqrt((1 - (latent.astype(float) ** 2).sum(axis=1)).clip(0))
-        blocks.append(Block(np.array([k for k, _ in own]), window, basis, latent, need, lost))
+        lost = np.sqrt((1 - norm[:, 0].astype(float) ** 2).clip(0))
+        blocks.append(Block(np.array([k for k, _ in own]), window, basis, latent, need / norm[:, 0], lost / norm[:, 0]))
     by_margin: dict[int, list[int]] = {}
     for k, item in enumerate(items):
         by_margin.setdefault(max(16, 1 << (len(item.words) - 1).bit_length()), []).append(k)

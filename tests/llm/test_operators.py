@@ -305,6 +305,30 @@ def test_decontamination_finds_common_words(spark):
     assert all(decontaminate.subsequence(decontaminate.plain_words(items[i][1].encode()), words[d]) >= 0.6 * 16 for d, i in got)
 
 
+def test_decontamination_does_not_depend_on_the_size_of_the_benchmark(spark):
+    """Items of a benchmark of well over a block, verbatim and reworded, are found with the cosines of a small one."""
+    r = random.Random(12)
+    pool = [a + b for a in WORDS for b in WORDS[:20]]
+    weights = [1 / (k + 8) for k in range(len(pool))]
+    items = [(k, " ".join(r.choices(pool, weights, k=r.randint(15, 40))) + ". " + " ".join(r.choices(pool, weights, k=6))) for k in range(450)]
+    schema = "doc_id long, text string"
+    verbatim = spark.createDataFrame(items[:400], schema)
+
+    def cosines(n):
+        bench = spark.createDataFrame(items[:n], "item_id long, text string")
+        return {r["doc_id"]: r["cosine"] for r in decontaminate.search(verbatim, bench).collect() if r["doc_id"] == r["item_id"]}
+
+    few, many = cosines(40), cosines(450)
+    assert len(many) == 400 and max(abs(many[k] - few[k]) for k in range(40)) < 0.03
+    plants = [p for seed, keep in enumerate((0.62, 0.7, 0.8)) for p in reworded_plants(items, keep, seed, lambda r: r.choices(pool, weights, k=140))]
+    docs = spark.createDataFrame([(k, text) for k, (_, _, text) in enumerate(plants)], schema)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.search(docs, bench).collect()}
+    missed = [k for k, (_, item, _) in enumerate(plants) if (k, item) not in got]
+    print(len(plants), "plants, missed", len(missed))
+    assert not missed
+
+
 def test_pipeline_on_awkward_rows(spark, awkward, small):
     import corpus_pipeline
 
