@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadastre.llm import decontaminate, embeddings, jaccard, language, licenses, packing, pii, quality, sharding, tokens
+from cadastre.llm import centroids, decontaminate, embeddings, jaccard, language, licenses, packing, pii, quality, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,8 @@ def op8(spark, sf_dir):
 @query("op10_factorisation_machine_quality")
 def op10(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_va_file_clustering", oracle=centroids.ORACLE)
+def op13(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
