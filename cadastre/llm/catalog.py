@@ -5,9 +5,9 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadastre.llm import centroids, decontaminate, embeddings, jaccard, language, licenses, packing, pii, quality, sharding, tokens
+from cadastre.llm import centroids, decontaminate, embeddings, hard_negatives, jaccard, language, licenses, packing, pii, quality, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,8 @@ def op10(spark, sf_dir):
 @query("op13_va_file_clustering", oracle=centroids.ORACLE)
 def op13(spark, sf_dir):
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_inverted_multi_index_negatives", oracle=hard_negatives.ORACLE)
+def op12(spark, sf_dir):
+    return hard_negatives.mine(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
