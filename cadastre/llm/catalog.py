@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadastre.llm import centroids, decontaminate, embeddings, hard_negatives, jaccard, language, licenses, packing, pii, quality, sharding, tokens
+from cadastre.llm import centroids, decontaminate, embeddings, hard_negatives, jaccard, language, licenses, packing, pii, quality, sharding, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,8 @@ def op13(spark, sf_dir):
 @query("op12_inverted_multi_index_negatives", oracle=hard_negatives.ORACLE)
 def op12(spark, sf_dir):
     return hard_negatives.mine(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
+@query("op11_string_kernel_toxicity")
+def op11(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
