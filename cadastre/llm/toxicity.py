@@ -7,8 +7,8 @@ weighted with ``DECAY`` to the power of its span, and is normalised; an inserted
 costs part of the similarity only. Landmarks are strings that toxic documents hold far more often than
 clean ones, and common clean strings. Nyström features are kernel values to the landmarks times the
 inverse root of the landmark kernel. A squared-hinge machine is fitted on labelled sentences: every string
-of a clean document counts as clean; of a toxic document the string that the machine so far finds most toxic
-stands for its sentence, as only the document has a label. Since the machine is linear in the subsequences,
+of a clean document counts as clean; of a toxic document the strings that the machine so far finds most
+toxic share the label, as only the document has one. Since the machine is linear in the subsequences,
 it folds into one weight per subsequence, and scoring is a map over whole texts in linear time.
 A sentence scores as its most toxic string, a document as its most toxic sentence, mapped to 0..1.
 
@@ -52,9 +52,13 @@ CANDIDATES = 4_000
 PIECES = (4, 5, 6, 7)
 #: strings of a document, most like the landmarks, that the fitting uses, and its steps
 STRINGS = 24
-STEPS = 12
+STEPS = 16
+#: strings of a toxic document whose disguised forms are examples too
+BENT = 3
 TASKS = 8
-PENALTY = 1e-2
+PENALTY = 3e-4
+#: how many times more often, as a logarithm, toxic documents hold a landmark
+LIFT = 1.2
 #: distinct words whose scores a worker keeps
 CACHE = 200_000
 
@@ -133,6 +137,12 @@ def kernel(strings: list[bytes], table: np.ndarray) -> np.ndarray:
     return out
 
 
+def bent(string: bytes) -> list[bytes]:
+    """A string with a sign put in, and with one replaced by it, near its middle."""
+    k = max(1, len(string) // 2)
+    return [string[:k] + b"\x18" + string[k:], string[: k - 1] + b"\x11" + string[k - 1 :], string[:k] + b"\x18" + string[k + 1 :]]
+
+
 def landmark_table(landmarks: list[bytes]) -> np.ndarray:
     table = np.zeros((SIGNS**3, len(landmarks)), np.float32)
     string, code, weight = subsequences(landmarks)
@@ -184,9 +194,8 @@ class Machine:
         return (1 / (1 + np.exp(-z))).tolist()
 
 
-def _sample(docs: DataFrame, labels: DataFrame, label: str, text: str, key: str, toxic: int, clean: int) -> DataFrame:
+def _sample(docs: DataFrame, known: DataFrame, text: str, key: str, toxic: int, clean: int) -> DataFrame:
     """Checkpointed (y, t) of labelled documents, a bounded number of either kind."""
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("y"))
     chosen = bounded_rows(known.where("y = 1"), key, toxic).unionByName(bounded_rows(known.where("y = 0"), key, clean)).select(F.col(key).alias("id"), "y")
     rows = docs.select(F.col(key).alias("id"), whole_text(text).alias("t")).join(F.broadcast(chosen), "id")  # the sample has a fixed largest size
     return cut_lineage(rows.groupBy("id", "y").agg(F.min("t").alias("t")).select("y", "t").repartition(TASKS)).coalesce(TASKS)
@@ -202,8 +211,8 @@ def _pieces(strings: Iterable[bytes]) -> set[bytes]:
     return out
 
 
-def _landmarks(rows: DataFrame) -> tuple[list[bytes], int]:
-    """Strings that mark toxic documents, then common clean ones; how many are of the first kind."""
+def _landmarks(rows: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """Strings that mark toxic documents, then common clean ones; the weight of those of the first kind."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
@@ -215,11 +224,12 @@ def _landmarks(rows: DataFrame) -> tuple[list[bytes], int]:
 
     size = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if not size.get(0) or not size.get(1):
-        return [], 0
+        return [], np.zeros(0)
     n = rows.mapInArrow(count, "piece binary, y int, n long").groupBy("piece").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n0"))
     lift = F.log((F.col("n1") + 0.5) / (size[1] + 1)) - F.log((F.col("n0") + 0.5) / (size[0] + 1))
-    n = cut_lineage(n.where("n1 + n0 > 1").withColumn("gain", F.col("n1") * lift))
-    marked = [bytes(r["piece"]) for r in n.where("n1 > 1 and gain > 0").orderBy(F.desc("gain"), F.desc(F.length("piece")), "piece").limit(CANDIDATES).select("piece").collect()]
+    n = cut_lineage(n.where("n1 + n0 > 1").withColumn("lift", lift).withColumn("gain", F.col("n1") * F.col("lift")))
+    found = n.where((F.col("n1") > 1) & (F.col("lift") > LIFT)).orderBy(F.desc("gain"), F.desc(F.length("piece")), "piece").limit(CANDIDATES).select("piece", "gain").collect()
+    marked, gain = [bytes(r["piece"]) for r in found], {bytes(r["piece"]): r["gain"] for r in found}
     plain = [bytes(r["piece"]) for r in n.where("n0 > 1").orderBy(F.desc("n0"), "piece").limit(CANDIDATES).select("piece").collect()]
     chosen: list[bytes] = []
     for pool, most in ((marked, MARKED), (plain, MARKED + PLAIN)):
@@ -228,18 +238,21 @@ def _landmarks(rows: DataFrame) -> tuple[list[bytes], int]:
         for k, piece in enumerate(pool):
             if len(chosen) == most or not free.any():
                 break
-            if free[k]:
+            core = piece.strip(b"\0")
+            if free[k] and not any(core in c or c.strip(b"\0") in piece for c in chosen):  # a part says what the whole says
                 chosen.append(piece)
                 free &= table[:, k] @ table < 0.75  # strings much like it stand behind it
         first = len(chosen) if pool is marked else first
-    return chosen, first
+    return chosen, np.sqrt([gain[c] for c in chosen[:first]])
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", text: str = "text", key: str = "doc_id", toxic: int = TOXIC, clean: int = CLEAN) -> Machine | None:
     """Machine fitted on a bounded number of the labelled documents handed in; None without both kinds."""
-    rows = _sample(docs, labels, label, text, key, toxic, clean)
-    landmarks, marked = _landmarks(rows)
-    if not marked:
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("y"))
+    total = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    rows = _sample(docs, known, text, key, toxic, clean)
+    landmarks, marking = _landmarks(rows)
+    if not len(marking):
         return None
     table = landmark_table(landmarks)
     among = table.T @ table
@@ -250,11 +263,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", text: str =
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = []
-            for t in batch.column(1).to_pylist():
+            for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 strings = sorted({s for w in words_of(t.lower()) for s in signs(w)})
                 near = kernel(strings, table)
-                best = np.argsort(-near[:, :marked].max(axis=1), kind="stable")[:STRINGS]
-                x.append((near[best] @ root).astype("<f4").tobytes())
+                hint = (near[:, : len(marking)] * marking).max(axis=1)
+                best = np.argsort(-hint, kind="stable")[:STRINGS]
+                near, hint = near[best], hint[best]
+                if y and len(best):  # disguised forms of what seems most toxic are examples too
+                    hidden = [(v, h) for k, h in zip(best[:BENT].tolist(), hint.tolist()) for v in bent(strings[k])]
+                    near, hint = np.vstack((near, kernel([v for v, _ in hidden], table))), np.append(hint, [h for _, h in hidden])
+                x.append(np.column_stack((near @ root, np.ones(len(near)), hint)).astype("<f4").tobytes())
             yield pa.record_batch([batch.column(0), pa.array(x, pa.binary())], ["y", "x"])
 
     described = cut_lineage(rows.mapInArrow(describe, "y int, x binary")).coalesce(TASKS)
@@ -262,22 +280,24 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", text: str =
     size = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     for step in range(STEPS):
 
-        def sums(batches: Iterator[pa.RecordBatch], w: np.ndarray = w, start: bool = step < 2) -> Iterator[pa.RecordBatch]:
+        def sums(batches: Iterator[pa.RecordBatch], w: np.ndarray = w, start: bool = step < STEPS - 4) -> Iterator[pa.RecordBatch]:
             right, left = np.zeros(width + 1), np.zeros((width + 1, width + 1))
             for batch in batches:
                 for y, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    x = np.frombuffer(x, "<f4").reshape(-1, width).astype(np.float64)
+                    x = np.frombuffer(x, "<f4").reshape(-1, width + 2).astype(np.float64)
                     if not len(x):
                         continue
-                    x = np.pad(x, ((0, 0), (0, 1)), constant_values=1.0)
-                    if y:  # one string stands for a toxic document
-                        at = 0 if start else int((x @ w).argmax())
-                        x = x[at : at + 1]
+                    x, hint = x[:, :-1], x[:, -1]
                     sign = 1.0 if y else -1.0
-                    x = x[sign * (x @ w) < 1]
-                    share = 1.0 / size[1] if y else 1.0 / size[0] / 4
-                    left += share * x.T @ x
-                    right += share * sign * x.sum(axis=0)
+                    margin = x @ w
+                    share = np.full(len(x), 1.0 / size[0] / 4)
+                    if y:  # the most toxic strings share the label of their document
+                        lead = np.exp(8 * (hint / max(hint.max(), 1e-9) - 1)) if start else np.exp(2 * (margin - margin.max()))
+                        share = lead / lead.sum() / size[1]
+                    short = sign * margin < 1
+                    x, share = x[short], share[short]
+                    left += (share[:, None] * x).T @ x
+                    right += sign * share @ x
             yield pa.record_batch([pa.array([right.tobytes()], pa.binary()), pa.array([left.tobytes()], pa.binary())], ["r", "l"])
 
         parts = described.mapInArrow(sums, "r binary, l binary").collect()  # one matrix of fixed size from each of TASKS tasks
@@ -285,16 +305,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", text: str =
         left = sum(np.frombuffer(p["l"]) for p in parts).reshape(width + 1, width + 1)
         ridge = np.full(width + 1, PENALTY)
         ridge[-1] = 1e-6
-        w = np.linalg.solve(left + np.diag(ridge), right)
+        w = (w + np.linalg.solve(left + np.diag(ridge), right)) / 2  # half steps, as whole ones swing about the margin
 
     def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best = [float((np.frombuffer(x, "<f4").reshape(-1, width) @ w[:-1]).max(initial=0.0) + w[-1]) for x in batch.column(1).to_pylist()]
+            best = [float((np.frombuffer(x, "<f4").reshape(-1, width + 2)[:, :-1] @ w).max(initial=w[-1])) for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(best, pa.float64())], ["y", "m"])
 
     found = described.mapInArrow(largest, "y int, m double").collect()  # TOXIC + CLEAN numbers at most
     m, y = np.array([r["m"] for r in found]), np.array([r["y"] for r in found], np.float64)
     slope, offset = _sigmoid(m, y)
+    # the sample holds more toxic rows than the table
+    offset += np.log((total[1] / total[0]) / (size[1] / size[0]))
     return Machine((table.astype(np.float64) @ (root @ w[:-1])), float(w[-1]), slope, offset)
 
 
