@@ -233,7 +233,7 @@ def _landmarks(rows: DataFrame) -> tuple[list[bytes], np.ndarray]:
     plain = [bytes(r["piece"]) for r in n.where("n0 > 1").orderBy(F.desc("n0"), "piece").limit(CANDIDATES).select("piece").collect()]
     chosen: list[bytes] = []
     for pool, most in ((marked, MARKED), (plain, MARKED + PLAIN)):
-        table = landmark_table(pool)
+        string, code, weight = subsequences(pool)
         free = np.ones(len(pool), bool)
         for k, piece in enumerate(pool):
             if len(chosen) == most or not free.any():
@@ -241,7 +241,9 @@ def _landmarks(rows: DataFrame) -> tuple[list[bytes], np.ndarray]:
             core = piece.strip(b"\0")
             if free[k] and not any(core in c or c.strip(b"\0") in piece for c in chosen):  # a part says what the whole says
                 chosen.append(piece)
-                free &= table[:, k] @ table < 0.75  # strings much like it stand behind it
+                own = np.zeros(SIGNS**3)
+                own[code[string == k]] = weight[string == k]
+                free &= np.bincount(string, weight * own[code], len(pool)) < 0.75  # strings much like it stand behind it
         first = len(chosen) if pool is marked else first
     return chosen, np.sqrt([gain[c] for c in chosen[:first]])
 
