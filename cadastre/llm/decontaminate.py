@@ -27,6 +27,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cadastre.llm.text import broadcast_if_small, frugal, in_chunks, plain_words, whole_text
 from cadastre.session import cut_lineage
@@ -37,6 +38,8 @@ WINDOWS = ((12, 16, 4), (24, 32, 8), (48, 64, 16))
 #: passages of a block, oversampling of its space, power iterations
 BLOCK = 400
 OVER, POWER = 8, 2
+#: words of a strip, by which sums of the space are folded on the executors
+STRIP = 512
 #: part of its squared norm that every passage keeps in the space of its block
 KEPT = 0.95
 #: cosine from which any passage is a candidate; a passage of common words is one from less
@@ -143,6 +146,7 @@ def document_counts(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[int,
         yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], total))], ["w", "n"])
 
     sums = docs.mapInArrow(frugal(run), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     w, n = sums["w"].to_numpy(), sums["n"].to_numpy()
     counts = np.zeros(len(vocabulary), np.int64)
     counts[w[w >= 0]] = n[w >= 0]
@@ -157,20 +161,32 @@ def latent_space(spark, rows: list[tuple[list[int], list[float]]], width: int) -
     matrix = cut_lineage(matrix)
 
     def product(basis: np.ndarray) -> np.ndarray:
-        """A^T A times the basis, summed over partitions."""
-        shared = spark.sparkContext.broadcast(basis)
+        """A^T A times the basis, summed on the executors by strips of words; one matrix reaches the driver."""
+        shared = spark.sparkContext.broadcast(basis.astype(np.float32))
+        shape = basis.shape
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros_like(shared.value)
+            total: dict[int, np.ndarray] = {}
             for batch in batches:
                 for at, x in zip(batch.column(0), batch.column(1)):
-                    at, x = np.array(at.as_py()), np.array(x.as_py())
-                    np.add.at(total, at, x[:, None] * (x @ shared.value[at])[None, :])
-            yield pa.record_batch([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["s"])
-
-        parts = [np.frombuffer(r["s"], np.float32).reshape(basis.shape) for r in matrix.mapInArrow(frugal(run), "s binary").collect()]
-        shared.unpersist()
-        return np.sum(parts, axis=0, dtype=np.float64)
+                    at, x = np.array(at.as_py(), np.int64), np.array(x.as_py())
+                    added = x[:, None] * (x @ shared.value[at])[None, :]
+                    for strip in np.unique(at // STRIP).tolist():
+                        mine = at // STRIP == strip
+                        held = total.setdefault(strip, np.zeros((STRIP, shape[1])))
+                        held[at[mine] % STRIP] += added[mine]  # a word occurs once in a row
+            yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["strip", "s"])
+
+        def fold(key: tuple, part: pa.Table) -> pa.Table:
+            summed = sum(np.frombuffer(v.as_buffer()) for v in part["s"])
+            return pa.table({"strip": pa.array([key[0].as_py()], pa.int32()), "s": pa.array([summed.astype(np.float32).tobytes()], pa.binary())})
+
+        out = np.zeros(shape)
+        for r in matrix.mapInArrow(frugal(run), "strip int, s binary").groupBy("strip").applyInArrow(fold, "strip int, s binary").collect():
+            first = r["strip"] * STRIP
+            out[first : first + STRIP] = np.frombuffer(r["s"], np.float32).reshape(STRIP, -1)[: shape[0] - first]
+        shared.destroy()
+        return out
 
     for _ in range(POWER):
         y, _ = np.linalg.qr(product(y))
@@ -303,7 +319,7 @@ def search(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: st
                     yield pa.record_batch([batch.column(0).take(pa.array(at)), *values], ["id", "item", "cosine", "lcs", "answer", "at_word"])
 
     kinds = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
-    item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]]
+    item_type = to_arrow_type(benchmark.schema[item_key].dataType)
     rows = docs.select(F.col(key).alias("id"), whole_text(text).cast("binary").alias("t"))
     found = rows.mapInArrow(frugal(run), f"id {kinds[0]}, item {kinds[1]}, cosine double, lcs double, answer double, at_word long")
     return found.toDF(key, item_key, "cosine", "lcs", "answer", "at_word")
@@ -311,6 +327,9 @@ def search(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: st
 
 def remove(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", **names) -> DataFrame:
     """The documents in which no benchmark item is found, with all their columns."""
-    marked = docs.withColumn("place__", F.struct(F.xxhash64(key, text).alias("a"), F.hash(text, key).alias("b")))
-    found = search(marked.select("place__", text), benchmark, text=text, key="place__", **names).select("place__").distinct()
-    return marked.join(broadcast_if_small(cut_lineage(found)), "place__", "left_anti").select(*docs.columns)
+    place = "place"
+    while place in docs.columns:
+        place += "_"
+    marked = docs.withColumn(place, F.struct(F.xxhash64(key, text).alias("a"), F.hash(text, key).alias("b")))
+    found = search(marked.select(place, text), benchmark, text=text, key=place, **names).select(place).distinct()
+    return marked.join(broadcast_if_small(cut_lineage(found)), place, "left_anti").select(*docs.columns)
