@@ -196,7 +196,26 @@ def d04(spark, d):
     return T.fix_rings(f).select("feature_id", F.size("pts").alias("points"))
 
 
-@query("d05_merge_collinear")
+MERGED = """, l AS MATERIALIZED (SELECT imagery_id, detection_type, min(feature_id) AS id, count(*) AS copies, fx, fy, fw, fh, degrees(atan2(fh, fw)) AS heading FROM features
+    WHERE detection_type IN ('ROAD','WALL','FENCE') GROUP BY imagery_id, detection_type, fx, fy, fw, fh),
+  e AS (SELECT *, 2*id AS n, fx AS px, fy AS py FROM l UNION ALL SELECT *, 2*id+1, fx+fw, fy+fh FROM l),
+  near_ends AS (SELECT a.id AS a, b.id AS b, a.n AS u, b.n AS v, round(sqrt(pow(a.px-b.px,2)+pow(a.py-b.py,2)),6) AS weight, (a.n%1000003*7919+b.n%1000003*104729)%1000003 AS scatter
+    FROM e a JOIN e b ON a.imagery_id=b.imagery_id AND a.detection_type=b.detection_type AND a.id<b.id AND abs(a.px-b.px)<=32 AND abs(a.py-b.py)<=32
+    WHERE sqrt(pow(a.px-b.px,2)+pow(a.py-b.py,2)) <= CASE a.detection_type WHEN 'ROAD' THEN 32 ELSE 22 END AND least(abs(a.heading-b.heading), 180-abs(a.heading-b.heading)) <= 25),
+  ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY weight, scatter, u, v) AS k FROM near_ends),
+  touching AS (SELECT k, u AS n FROM ranked UNION ALL SELECT k, v FROM ranked),
+  pairs AS (SELECT DISTINCT p.k AS s, q.k AS w FROM touching p JOIN touching q ON p.n=q.n AND p.k<q.k)""" + greedy_sql(24) + """,
+  chosen AS MATERIALIZED (SELECT * FROM ranked WHERE k NOT IN (SELECT id FROM dropped)),
+  step AS (SELECT a AS p, b AS q FROM chosen UNION ALL SELECT b, a FROM chosen),
+  reach AS (WITH RECURSIVE r AS (SELECT DISTINCT p AS id, p AS root FROM step UNION SELECT s.q, r.root FROM r JOIN step s ON s.p=r.id) SELECT id, min(root) AS root FROM r GROUP BY id),
+  counted AS (SELECT r.root, count(*) AS joints, max(k) AS worst FROM chosen c JOIN reach r ON r.id=c.a GROUP BY r.root),
+  sized AS (SELECT root, count(*) AS pieces FROM reach GROUP BY root),
+  kept AS (SELECT r.root, sum(c.weight) AS gaps FROM chosen c JOIN reach r ON r.id=c.a JOIN counted n ON n.root=r.root JOIN sized z ON z.root=r.root WHERE NOT (n.joints=z.pieces AND c.k=n.worst) GROUP BY r.root)
+  SELECT l.imagery_id, l.detection_type, min(l.id) AS feature_id, CAST(sum(l.copies) AS INT) AS parts, CAST(3*count(*) AS INT) AS points, round(sum(l.fw+l.fh)+coalesce(any_value(g.gaps),0),2) AS length
+  FROM l LEFT JOIN reach r ON r.id=l.id LEFT JOIN kept g ON g.root=r.root GROUP BY l.imagery_id, l.detection_type, coalesce(r.root, l.id)"""
+
+
+@query("d05_merge_collinear", sql("features", body=MERGED))
 def d05(spark, d):
     m = T.merge_collinear(D.features(spark, d).where("is_line"))
     return m.select("imagery_id", "detection_type", "feature_id", F.size("merged_ids").alias("parts"), F.size("pts").alias("points"), G.js_round(G.planar_length(F.col("pts")), 2).alias("length"))

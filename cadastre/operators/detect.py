@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cadastre.functions import canonical as C, geom as G, rings as S
-from cadastre.operators import history as H, joins as J
+from cadastre.operators import chains, history as H, joins as J
 from cadastre.operators.grid import near, overlapping_boxes
-from cadastre.operators.groups import map_groups
 from cadastre.operators.rounds import components, greedy_dropped, keep_strongest_copies
 from cadastre.session import cut_lineage
 from cadastre.sources.derived import IMAGE_HEIGHT, IMAGE_WIDTH
@@ -60,89 +58,76 @@ def fix_rings(features: DataFrame, eps: float = 0.5) -> DataFrame:
 MERGE_LIMITS = {"ROAD": (32.0, 25.0), "WALL": (22.0, 25.0), "FENCE": (22.0, 25.0)}
 
 
-def chain_lines(feature_ids, xs, ys, max_gap: float, max_angle: float) -> list[tuple[list[int], np.ndarray]]:
-    """Join lines of one component in id order until no pair qualifies.
+def heading_between(a: Column, b: Column) -> Column:
+    """Angle between two headings in degrees, whichever way the lines run."""
+    turn = F.pmod(F.abs(a - b), F.lit(180.0))
+    return F.least(turn, 180.0 - turn)
 
-    Only pairs with the line that just grew can newly qualify, so each join costs one vector scan.
+
+def line_joints(lines: DataFrame) -> DataFrame:
+    """(u, v, weight): pairs of ends of two lines of one class that nearly meet, with agreeing headings.
+
+    An end is twice the line's id, plus one at its tail; ``weight`` is the gap.
     """
-    order = np.argsort(feature_ids)
-    ids = [[int(feature_ids[k])] for k in order]
-    paths = [np.column_stack([xs[k], ys[k]]) for k in order]
-    heads, tails = np.array([p[0] for p in paths]), np.array([p[-1] for p in paths])
-    alive = np.ones(len(paths), dtype=bool)
-
-    def partners(i):
-        v, w = tails[i] - heads[i], tails - heads
-        diff = np.abs(np.degrees(np.arctan2(v[1], v[0]) - np.arctan2(w[:, 1], w[:, 0])))
-        diff = np.where(diff > 180, 360 - diff, diff)
-        diff = np.where(diff > 90, 180 - diff, diff)
-        gaps = np.stack([np.hypot(*(tails[i] - heads).T), np.hypot(*(heads[i] - tails).T), np.hypot(*(tails[i] - tails).T), np.hypot(*(heads[i] - heads).T)])
-        ok = (gaps <= max_gap) & (diff <= max_angle) & alive
-        ok[:, i] = False
-        return ok
-
-    def absorb(i, j, how):
-        a, b = paths[i], paths[j]
-        paths[i] = np.vstack([(a, b), (b, a), (a, b[::-1]), (a[::-1], b)][how])
-        ids[i] += ids[j]
-        heads[i], tails[i], alive[j] = paths[i][0], paths[i][-1], False
-
-    i = 0
-    while i < len(paths):
-        if not alive[i]:
-            i += 1
-            continue
-        any_way = partners(i)
-        found = np.flatnonzero(any_way.any(axis=0))
-        if not len(found):
-            i += 1
-            continue
-        j = int(found[0])
-        if j < i:
-            # the earlier line takes over; gap kinds are seen from its side
-            way = partners(j)[:, i]
-            absorb(j, i, int(np.argmax(way)))
-            i = j
-        else:
-            absorb(i, j, int(np.argmax(any_way[:, j])))
-    return [(ids[k], paths[k]) for k in range(len(paths)) if alive[k]]
+    reach = max(g for g, _ in MERGE_LIMITS.values())
+    gap = F.create_map(*[F.lit(v) for k, (g, _) in MERGE_LIMITS.items() for v in (k, g)])
+    angle = F.create_map(*[F.lit(v) for k, (_, a) in MERGE_LIMITS.items() for v in (k, a)])
+    first, last = F.element_at("pts", 1), F.element_at("pts", -1)
+    heading = F.degrees(F.atan2(last["y"] - first["y"], last["x"] - first["x"]))
+    sides = F.array(F.struct(F.lit(0).alias("side"), first.alias("p")), F.struct(F.lit(1).alias("side"), last.alias("p")))
+    ends = lines.select("imagery_id", "detection_type", "feature_id", heading.alias("heading"), F.explode(sides).alias("e"))
+    ends = ends.select("imagery_id", "detection_type", "feature_id", "heading", (F.col("feature_id") * 2 + F.col("e.side")).alias("u"), F.col("e.p.x").alias("px"), F.col("e.p.y").alias("py"))
+    others = J.as_points_box(ends.withColumnsRenamed({"feature_id": "other_id", "heading": "other_heading", "u": "v"}))
+    kind = F.col("detection_type")
+    meets = (F.col("feature_id") < F.col("other_id")) & (J.point_distance() <= gap[kind]) & (heading_between(F.col("heading"), F.col("other_heading")) <= angle[kind])
+    found = near(ends, others, ["imagery_id", "detection_type"], meets, reach=reach)
+    return found.select("u", "v", F.round(J.point_distance(), 6).alias("weight"))
 
 
 def merge_collinear(lines: DataFrame) -> DataFrame:
-    """Join lines of one class whose ends nearly meet and whose headings agree, to a fixpoint.
+    """Join lines of one class whose ends nearly meet and whose headings agree.
+
+    Every end joins at most one other, the closest pairs first (``chains.matching``); a closed ring of
+    lines opens at its widest joint. The joined lines are put in order by list ranking, so no task holds
+    more than the points of one merged line, which are its output row. Headings are those of the lines as
+    they come, not of what they were joined to before. Lines of equal points are one line with several ids.
 
-    Ends within the gap limit define components (joined ends are ends of the parts, so no merge can
-    leave a component); components, not images, are the unit of the ordered join.
+    A merged line runs the way its line of the smallest id does and takes that id; all ids are in
+    ``merged_ids``. Its other columns are those of its most confident line (of equal ones the smallest id,
+    of lines without a ``confidence`` column the smallest id).
     """
-    reach = max(g for g, _ in MERGE_LIMITS.values())
-    limit = F.create_map(*[F.lit(v) for k, (g, _) in MERGE_LIMITS.items() for v in (k, g)])
-    first, last = F.element_at("pts", 1), F.element_at("pts", -1)
-    ends = lines.select("imagery_id", "detection_type", "feature_id", F.explode(F.array(first, last)).alias("p")).select(
-        "imagery_id", "detection_type", "feature_id", F.col("p.x").alias("px"), F.col("p.y").alias("py")
+    own = ("imagery_id", "detection_type", "feature_id", "pts")
+    rest = [c for c in lines.columns if c not in own]
+    rank = F.struct(F.coalesce(F.col("confidence").cast("double"), F.lit(-1.0)) if "confidence" in rest else F.lit(0.0), -F.col("feature_id"))
+    facts = F.max_by(F.struct("feature_id", *rest), rank).alias("facts"), F.max(rank).alias("rank")
+    alike = lines.groupBy("imagery_id", "detection_type", "pts").agg(F.min("feature_id").alias("feature_id"), F.collect_list("feature_id").alias("ids"), *facts)
+    alike = cut_lineage(alike)
+    joints = chains.matching(line_joints(alike)).withColumns({"a": F.shiftright("u", 1), "b": F.shiftright("v", 1)})
+    joints = cut_lineage(joints)
+    labels = components(joints.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    joints = cut_lineage(chains.open_rings(joints, labels))
+    both = joints.select("u", "v").unionByName(joints.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    joined = both.select(F.shiftright("u", 1).alias("feature_id")).distinct()
+    # leaving a line by an end, one enters the line at the joint and leaves it by its other end
+    ends = joined.select(F.explode(F.array(F.col("feature_id") * 2, F.col("feature_id") * 2 + 1)).alias("n"))
+    ranks = chains.list_ranks(ends.join(both.select(F.col("u").alias("n"), F.col("v").bitwiseXOR(F.lit(1)).alias("nxt")), "n", "left"))
+    by_line = ranks.groupBy(F.shiftright("n", 1).alias("feature_id")).agg(
+        *[F.max(F.when(F.col("n") % 2 == side, F.struct("last", "steps"))).alias(name) for side, name in ((0, "head"), (1, "tail"))]
     )
-    # one end per distinct place links to its own place; places link to nearby places
-    place = ends.groupBy("imagery_id", "detection_type", "px", "py").agg(F.min("feature_id").alias("holder"))
-    same = ends.join(place, ["imagery_id", "detection_type", "px", "py"]).select(F.col("feature_id").alias("u"), F.col("holder").alias("v"))
-    targets = J.as_points_box(place.withColumnRenamed("holder", "other"))
-    close = near(place, targets, ["imagery_id", "detection_type"], (F.col("holder") > F.col("other")) & (J.point_distance() <= limit[F.col("detection_type")]), reach=reach)
-    links = same.unionByName(close.select(F.col("holder").alias("u"), F.col("other").alias("v")))
-    labels = cut_lineage(components(links))
-    x, y = S.xy(F.col("pts"))
-    grouped = lines.join(labels.withColumnRenamed("id", "feature_id"), "feature_id", "left").select(
-        "imagery_id", "detection_type", F.coalesce("component", "feature_id").alias("component"), "feature_id", x.alias("xs"), y.alias("ys")
+    onward = F.col("head.last") < F.col("tail.last")  # the walk from the smaller outer end enters at the head
+    placed = by_line.select("feature_id", onward.alias("onward"), F.when(onward, F.col("head")).otherwise(F.col("tail")).alias("start"))
+    parts = alike.join(placed, "feature_id")
+    step = F.struct(F.col("start.steps").alias("place"), "onward", "pts")
+    whole = parts.groupBy("imagery_id", "detection_type", F.col("start.last").alias("start")).agg(
+        F.sort_array(F.collect_list(step)).alias("steps"), F.min_by("onward", "feature_id").alias("along"), F.min("feature_id").alias("feature_id"),
+        F.flatten(F.collect_list("ids")).alias("ids"), F.max_by("facts", "rank").alias("facts"),
     )
-
-    def run(g):
-        gap, angle = MERGE_LIMITS[g["detection_type"][0]]
-        for ids, path in chain_lines(g["feature_id"], g["xs"], g["ys"], gap, angle):
-            yield g["imagery_id"][0], g["detection_type"][0], min(ids), sorted(ids), path[:, 0], path[:, 1]
-
-    crowded = labels.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    alone, joined = grouped.join(crowded, "component", "left_anti"), grouped.join(crowded, "component", "left_semi")
-    schema = "imagery_id int, detection_type string, feature_id long, merged_ids array<long>, " + S.XY
-    merged = map_groups(joined, ["component", "detection_type"], run, schema)
-    single = alone.select("imagery_id", "detection_type", "feature_id", F.array("feature_id").alias("merged_ids"), "xs", "ys")
-    return merged.unionByName(single).withColumn("pts", S.to_ring(F.struct("xs", "ys"))).drop("xs", "ys")
+    turned = F.when(F.col("along"), F.col("steps")).otherwise(F.reverse("steps"))
+    path = F.flatten(F.transform(turned, lambda s: F.when(s["onward"] == F.col("along"), s["pts"]).otherwise(F.reverse(s["pts"]))))
+    merged = whole.withColumn("pts", path).select("imagery_id", "detection_type", "feature_id", "ids", "pts", "facts")
+    alone = alike.join(joined, "feature_id", "left_anti").select("imagery_id", "detection_type", "feature_id", "ids", "pts", "facts")
+    out = merged.unionByName(alone)
+    return out.select("imagery_id", "detection_type", "feature_id", F.sort_array("ids").alias("merged_ids"), "pts", *[F.col("facts")[c].alias(c) for c in rest])
 
 
 def _dedupe_points(features: DataFrame, scope: list[str], distance: float) -> DataFrame:
@@ -378,13 +363,14 @@ def accept_or_reject(features: DataFrame, reason: Column) -> tuple[DataFrame, Da
 
 
 def clean_features(features: DataFrame) -> DataFrame:
-    """The whole cleaning chain over all images and classes."""
-    f = fix_rings(simplify(remove_tiny(remove_noise(features))))
+    """The whole cleaning chain over all images and classes; the columns are those handed in.
+
+    A line merged from several keeps the columns of its most confident part (``merge_collinear``).
+    """
+    f = cut_lineage(fix_rings(simplify(remove_tiny(remove_noise(features)))))
     line = F.col("is_line")
-    f = cut_lineage(f.select("imagery_id", "detection_type", "feature_id", "pts", "is_line"))
-    merged = merge_collinear(f.where(line)).select("imagery_id", "detection_type", "feature_id", "pts").withColumn("is_line", F.lit(True))
-    areas = f.where(~line).select("imagery_id", "detection_type", "feature_id", "pts", "is_line")
-    deduped = dedupe_centroids(cut_lineage(merged.unionByName(areas)))
+    merged = merge_collinear(f.where(line)).select(*f.columns)
+    deduped = dedupe_centroids(cut_lineage(merged.unionByName(f.where(~line))))
     facts = G.once(
         deduped, bb=G.bbox(F.col("pts")), area=F.when(line, 0.0).otherwise(G.planar_area(F.col("pts"))), length=F.when(line, G.planar_length(F.col("pts"))).otherwise(0.0),
         longest_edge=F.array_max(F.transform(G.edges(F.col("pts")), lambda e: F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"]))),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadastre.functions import geom as G
-from cadastre.operators import detect as T, history as H, raster as R
+from cadastre.operators import chains, detect as T, history as H, raster as R
 from cadastre.operators.groups import map_groups
 from cadastre.operators.rounds import components, greedy_dropped
 from cadastre.plans import infer as I
@@ -61,44 +61,101 @@ def test_components_equal_union_find(spark):
 
 
 def naive_chain(lines, gap, angle):
-    lines = [[list(ids), [tuple(p) for p in path]] for ids, path in lines]
-    merged = True
-    while merged:
-        merged = False
-        for i in range(len(lines)):
-            for j in range(i + 1, len(lines)):
-                a, b = lines[i][1], lines[j][1]
-                head = lambda p: np.degrees(np.arctan2(p[-1][1] - p[0][1], p[-1][0] - p[0][0]))
-                d = abs(head(a) - head(b))
-                d = 360 - d if d > 180 else d
-                d = 180 - d if d > 90 else d
-                if d > angle:
-                    continue
-                dist = lambda p, q: np.hypot(p[0] - q[0], p[1] - q[1])
-                for test, joined in ((dist(a[-1], b[0]), a + b), (dist(a[0], b[-1]), b + a), (dist(a[-1], b[-1]), a + b[::-1]), (dist(a[0], b[0]), a[::-1] + b)):
-                    if test <= gap:
-                        lines[i] = [lines[i][0] + lines[j][0], joined]
-                        del lines[j]
-                        merged = True
-                        break
-                if merged:
-                    break
-            if merged:
-                break
-    return sorted((sorted(ids), path) for ids, path in lines)
+    """Joints by rising gap, each end once, rings left open; paths from the line of the smallest id."""
+
+    def heading(p):
+        return np.degrees(np.arctan2(p[-1][1] - p[0][1], p[-1][0] - p[0][0]))
+
+    ids, pairs = sorted(lines), []
+    for i in ids:
+        for j in ids:
+            turn = abs(heading(lines[i]) - heading(lines[j])) % 180
+            if i < j and min(turn, 180 - turn) <= angle:
+                for s in (0, 1):
+                    for t in (0, 1):
+                        d = round(float(np.hypot(*np.subtract(lines[i][-s], lines[j][-t]))), 6)
+                        if d <= gap:
+                            u, v = 2 * i + s, 2 * j + t
+                            pairs.append((d, (u * 7919 + v * 104729) % 1000003, u, v))
+    at, joints = {}, []
+    for p in sorted(pairs):
+        if p[2] not in at and p[3] not in at:
+            at[p[2]], at[p[3]] = p[3], p[2]
+            joints.append(p)
+    for p in reversed(sorted(joints)):  # the widest joint of a ring opens it
+        n = p[2]
+        seen = [n]
+        while n in at and at[n] ^ 1 != seen[0] and len(seen) < 2 * len(ids) + 2:
+            n = at[n] ^ 1
+            seen.append(n)
+        if n in at and at[n] ^ 1 == seen[0]:
+            del at[p[2]], at[p[3]]
+    out, used = [], set()
+    for i in ids:
+        if i in used:
+            continue
+        left, right = [], []
+        for side, walk in ((0, left), (1, right)):
+            n = 2 * i + side
+            while n in at:
+                n = at[n] ^ 1
+                walk.append(n)
+        def points(n, enter_first):
+            p = lines[n >> 1]
+            return p if (n & 1) == (1 if enter_first else 0) else p[::-1]
+        path = [q for n in reversed(left) for q in points(n, False)] + list(lines[i]) + [q for n in right for q in points(n, True)]
+        members = [i, *[n >> 1 for n in left + right]]
+        used.update(members)
+        out.append((sorted(members), path))
+    return sorted(out)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_line_merging_equals_restarting_scan(spark, seed):
+def test_line_merging_equals_matching_by_gap(spark, seed):
     rnd = random.Random(seed)
-    rows = []
-    for i in range(40):
+    rows = {}
+    for i in range(60):
         x, y, w, h = rnd.randrange(0, 300), rnd.randrange(0, 300), rnd.randrange(10, 60), rnd.randrange(5, 40)
-        rows.append((i, [(x, y), (x + w, y), (x + w, y + h)]))
-    df = spark.createDataFrame([(1, "ROAD", i, ring(*p)) for i, p in rows], f"imagery_id int, detection_type string, feature_id long, pts {RING_TYPE}")
+        rows[i] = [(float(x), float(y)), (float(x + w), float(y)), (float(x + w), float(y + h))]
+    df = spark.createDataFrame([(1, "ROAD", i, ring(*p)) for i, p in rows.items()], f"imagery_id int, detection_type string, feature_id long, pts {RING_TYPE}")
     got = sorted((sorted(r.merged_ids), [(p.x, p.y) for p in r.pts]) for r in T.merge_collinear(df).collect())
-    expected = naive_chain([([i], [(float(x), float(y)) for x, y in p]) for i, p in rows], 32.0, 25.0)
-    assert got == expected
+    assert got == naive_chain(rows, 32.0, 25.0)
+
+
+def test_a_long_line_in_pieces_is_one_line_again(spark):
+    """Shuffled ids, pieces that run either way, small gaps, copies; attributes of the most confident piece."""
+    n = 90
+    order = list(range(n))
+    random.Random(4).shuffle(order)
+    rows = []
+    for k in range(n):
+        p = [(20.0 * k, 100.0), (20.0 * k + 19.0, 100.0)]
+        rows.append((1, "WALL", order[k], ring(*(p if k % 3 else p[::-1])), 0.5 + (k == 17) * 0.4, "ml" if k == 17 else "cv"))
+    rows.append((1, "WALL", 500, rows[7][3], 0.1, "cv"))  # equal points
+    rows += [(1, "WALL", 600, ring((0, 400), (50, 400)), None, "cv"), (2, "WALL", 601, ring((0, 100), (19, 100)), 0.3, "cv"), (1, "ROAD", 602, ring((0, 100), (19, 100)), 0.3, "cv")]
+    df = spark.createDataFrame(rows, f"imagery_id int, detection_type string, feature_id long, pts {RING_TYPE}, confidence double, provider string")
+    got = {r.feature_id: r for r in T.merge_collinear(df).collect()}
+    assert sorted(got) == [0, 600, 601, 602]
+    long = got[0]
+    assert long.merged_ids == [*range(n), 500] and (long.confidence, long.provider) == (0.9, "ml")
+    xs = [p.x for p in long.pts]
+    assert len(xs) == 2 * n and xs in (sorted(xs), sorted(xs)[::-1])
+    assert got[600].confidence is None
+
+
+def test_a_ring_of_lines_opens_at_its_widest_joint(spark):
+    corners = [(100 + 40 * np.cos(a), 100 + 40 * np.sin(a)) for a in np.linspace(0, 2 * np.pi, 25)]
+    rows = [(1, "FENCE", k, ring(corners[k], (corners[k + 1][0], corners[k + 1][1] + (1.0 if k == 9 else 0.0)))) for k in range(24)]
+    df = spark.createDataFrame(rows, f"imagery_id int, detection_type string, feature_id long, pts {RING_TYPE}")
+    got = T.merge_collinear(df).collect()
+    assert len(got) == 1 and len(got[0].pts) == 48
+    assert {(round(p.x, 6), round(p.y, 6)) for p in (got[0].pts[0], got[0].pts[-1])} == {(round(corners[10][0], 6), round(corners[10][1], 6)), (round(corners[10][0], 6), round(corners[10][1] + 1.0, 6))}
+
+
+def test_list_ranks_of_a_long_list(spark):
+    links = spark.range(3000).selectExpr("id * 7 AS n", "CASE WHEN id < 2999 THEN (id + 1) * 7 END AS nxt")
+    got = chains.list_ranks(links).collect()
+    assert len(got) == 3000 and all(r["last"] == 2999 * 7 and r["steps"] == 2999 - r["n"] // 7 for r in got)
 
 
 def test_suppression_handles_copies(spark):
