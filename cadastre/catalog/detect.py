@@ -61,7 +61,7 @@ def m13(spark, d):
     x, y, w, h = F.col("x0"), F.col("y0"), F.col("w") + 100, F.col("h") + 60
     mid = x + w / 2
     spiked = G.ring((x, y), (x + w, y), (x + w, y + h), (mid + 1.5, y + h), (mid, y + h + 60), (mid - 1.5, y + h), (x, y + h), (x, y))
-    p = D.parcels(spark, d).select("parcel_id", S.despiked(spiked, 50.0).alias("ring"))
+    p = D.parcels(spark, d).select("parcel_id", G.despiked(spiked, 50.0).alias("ring"))
     return p.select("parcel_id", F.size("ring").alias("points"), G.planar_area(F.col("ring")).alias("area"))
 
 

@@ -172,6 +172,47 @@ def drop_repeats(points: Column, eps: float, per_axis: bool = True) -> Column:
     return F.aggregate(points, empty, step)
 
 
+# fixed values: shortest edge of a contour; widest mouth, shortest flank and widest angle of a notch
+SHORT_EDGE, NOTCH_BASE, NOTCH_EDGE, NOTCH_ANGLE = 4.0, 45.0, 25.0, 70.0
+
+
+def _spike(before: Column, corner: Column, after: Column, min_angle: float) -> Column:
+    """Whether a corner is at a short edge, is sharper than ``min_angle``, or is the bottom of a notch."""
+    ux, uy, vx, vy = before["x"] - corner["x"], before["y"] - corner["y"], after["x"] - corner["x"], after["y"] - corner["y"]
+    u2, v2, dot = ux * ux + uy * uy, vx * vx + vy * vy, ux * vx + uy * vy
+
+    def sharper(degrees: float) -> Column:
+        return dot > math.cos(math.radians(degrees)) * F.sqrt(u2 * v2)
+
+    flank, mouth = F.least(u2, v2), u2 + v2 - 2 * dot
+    return (flank < SHORT_EDGE**2) | sharper(min_angle) | ((mouth < NOTCH_BASE**2) & (flank > NOTCH_EDGE**2) & sharper(NOTCH_ANGLE))
+
+
+def despiked(ring: Column, min_angle: float) -> Column:
+    """The ring without spikes: all corners that are one go, and the rest is judged again until none is left.
+
+    Every round takes a corner away, so there are no more rounds than corners; there is no other limit, and
+    a ring with spikes on spikes comes out clean. A triangle is not judged further; a ring that loses that
+    too comes back as the open points that remain, and one of fewer than five points as it is.
+    """
+
+    def next_round(state: Column, _: Column) -> Column:
+        pts = state["pts"]
+        n = F.size(pts)
+
+        def kept(p: Column, i: Column) -> Column:
+            return ~_spike(F.element_at(pts, F.pmod(i - 1, n) + 1), p, F.element_at(pts, F.pmod(i + 1, n) + 1), min_angle)
+
+        rest = let(F.filter(pts, kept), lambda left: F.struct(left.alias("pts"), (F.size(left) == n).alias("done")))
+        return F.when(state["done"] | (n < 4), state).otherwise(rest)
+
+    corners = open_ring(ring)
+    start = F.struct(corners.alias("pts"), (F.size(corners) < 0).alias("done"))
+    clean = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(corners))), start, next_round, lambda s: s["pts"])
+    closed = let(clean, lambda pts: F.when(F.size(pts) >= 3, F.concat(pts, F.slice(pts, 1, 1))).otherwise(pts))
+    return F.when(F.size(ring) < 5, ring).otherwise(closed)
+
+
 def close_ring(points: Column, eps: float = 0.0) -> Column:
     def close(r):
         first, last = F.element_at(r, 1), F.element_at(r, -1)

@@ -121,33 +121,6 @@ def regular_ring(ring: np.ndarray, tolerance: float) -> np.ndarray:
     return whole
 
 
-# fixed values: passes, sharpest angle and notch limits of a contour
-PASSES, SHORT_EDGE, NOTCH_BASE, NOTCH_EDGE, NOTCH_ANGLE = 5, 4.0, 45.0, 25.0, 70.0
-
-
-def without_spikes(ring: np.ndarray, min_angle: float) -> np.ndarray:
-    """Remove acute vertices and narrow notches until nothing changes (a few passes at most)."""
-    if len(ring) < 5:
-        return ring
-    pts = ring[:-1] if (ring[0] == ring[-1]).all() else ring
-    for _ in range(PASSES):
-        if len(pts) < 4:
-            break
-        back, onward = np.roll(pts, 1, axis=0) - pts, np.roll(pts, -1, axis=0) - pts
-        a, b = np.hypot(*back.T), np.hypot(*onward.T)
-        safe = np.where((a > 0) & (b > 0), a * b, 1.0)
-        angle = np.degrees(np.arccos(np.clip((back * onward).sum(axis=1) / safe, -1.0, 1.0)))
-        base = np.hypot(*(back - onward).T)
-        notch = (base < NOTCH_BASE) & (np.minimum(a, b) > NOTCH_EDGE) & (angle < NOTCH_ANGLE)
-        bad = (np.minimum(a, b) < SHORT_EDGE) | (angle < min_angle) | notch
-        if not bad.any():
-            break
-        pts = pts[~bad]
-    if len(pts) < 3:
-        return pts
-    return np.vstack([pts, pts[:1]]) if (pts[0] != pts[-1]).any() else pts
-
-
 def hull(points: np.ndarray) -> np.ndarray:
     """Closed convex hull; fewer than three distinct corners come back unclosed."""
     pts = np.unique(points, axis=0)
@@ -311,7 +284,6 @@ def difference_outline(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 simplified = per_ring(keep_corners)
 simplified_ring = per_ring(keep_ring_corners)
 regularised = per_ring(regular_ring)
-despiked = per_ring(without_spikes)
 hull_ring = per_ring(lambda pts, _: hull(pts))
 squared = per_ring(square_up)
 

@@ -171,6 +171,7 @@ def csv_rows(joined: DataFrame, scope: str = "verified", parcel_id=None) -> Data
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
+    """A folder of CSV parts, each with the header as its first line (a part may hold the header alone)."""
     rows.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 

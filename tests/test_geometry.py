@@ -149,3 +149,15 @@ def test_group_hulls_reduce_big_groups(spark):
     for k in (1, 2):
         pts = np.array([(x, y) for kk, x, y in rows if kk == k])
         assert got[k] == pytest.approx(S.ring_area(S.hull(pts)))
+
+
+def test_spikes_on_spikes_go_however_many(spark):
+    """Each round bares the next spike: more rounds than any small limit."""
+    box = [(0, 0), (400, 0), (400, 300), (0, 300)]
+    teeth = [(201, 300 + 30.0 * k) for k in range(12)]  # only the peak is sharp; without it the pair below is at a short edge
+    ridge = [*teeth, (200, 700), *[(400 - x, y) for x, y in reversed(teeth)]]
+    rows = [(1, ring(*box[:3], *ridge, box[3], box[0])), (2, ring(*box, box[0])), (3, ring((0, 0), (5, 5), (0, 0))), (4, None), (5, [])]
+    df = spark.createDataFrame(rows, f"id int, ring {RING_TYPE}").select("id", G.despiked(F.col("ring"), 50.0).alias("ring"))
+    got = {r.id: r.ring and [(p.x, p.y) for p in r.ring] for r in df.collect()}
+    assert got[1] == got[2] == [(float(x), float(y)) for x, y in [*box, box[0]]]
+    assert got[3] == [(0.0, 0.0), (5.0, 5.0), (0.0, 0.0)] and not got[4] and not got[5]
