@@ -40,14 +40,15 @@ def s16(spark, d):
 GATED = "CASE WHEN fw%5=0 OR (imagery_id%3=1 AND detection_type NOT IN ('VEGETATION','WATER')) THEN false ELSE is_valid END"
 
 
-@query("p02_evidence_gate", sql("features", "imagery", body=f""", v AS (SELECT imagery_id, detection_type, {GATED} AS ok FROM features WHERE imagery_id%8<>6 UNION ALL SELECT imagery_id, NULL, false FROM imagery),
+@query("p02_evidence_gate", sql("features", "imagery", body=f""", v AS (SELECT imagery_id, detection_type, {GATED} AS ok FROM features UNION ALL SELECT imagery_id, NULL, false FROM imagery UNION ALL SELECT imagery_id+1000, NULL, false FROM imagery),
   g AS (SELECT imagery_id, count(CASE WHEN ok THEN 1 END) AS features, count(CASE WHEN ok AND detection_type='ROAD' THEN 1 END) AS roads, count(CASE WHEN ok AND detection_type='FIELD' THEN 1 END) AS fields,
    count(CASE WHEN ok AND detection_type IN ('WALL','FENCE') THEN 1 END) AS boundaries, count(CASE WHEN ok AND detection_type='BUILDING' THEN 1 END) AS buildings FROM v GROUP BY 1)
   SELECT *, CASE WHEN roads=0 AND fields=0 AND boundaries=0 THEN 'FAILED' ELSE 'OK' END AS status, CASE WHEN roads=0 AND fields=0 AND boundaries=0 THEN 'Insufficient validated spatial evidence for parcel generation.' END AS reason,
    CASE WHEN roads=0 AND fields=0 AND boundaries=0 THEN NULL WHEN buildings>0 AND roads>0 THEN 'houses' ELSE 'land' END AS strategy FROM g"""))
 def p02(spark, d):
-    seen = D.features(spark, d).where("imagery_id % 8 <> 6")  # the others are images without features
-    return I.evidence_gate(seen.withColumn("is_valid", F.expr(GATED)), D.imagery(spark, d))
+    images = D.imagery(spark, d)
+    bare = images.withColumn("imagery_id", F.col("imagery_id") + 1000)  # images of their own, without features
+    return I.evidence_gate(D.features(spark, d).withColumn("is_valid", F.expr(GATED)), images.unionByName(bare))
 
 
 DRY_ROADS = f""", wet AS (SELECT DISTINCT v.feature_id FROM (SELECT feature_id, imagery_id, x AS px, y AS py FROM fvertices WHERE detection_type='ROAD') v JOIN features f ON f.imagery_id=v.imagery_id AND f.detection_type='WATER' AND f.is_valid AND {IN_BOX}),
