@@ -74,7 +74,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL can't express the trained stages; tests compare the pipeline with a brute-force version
+#: SQL can't express the trained stages; their operators and stages are tested one by one, not yet the whole run
 ORACLE_SQL = None
 
 
