@@ -241,11 +241,100 @@ def perimeter_support(parcels: DataFrame, features: DataFrame, reach: float = 40
 EVIDENCE = {"ROAD": (1, 35.0), "WALL": (2, 25.0), "FENCE": (2, 25.0), "FIELD": (3, 25.0)}
 
 
+def _between(g0: Column, g1: Column, low: Column, high: Column) -> tuple[Column, Column]:
+    """Range of t with ``low <= g0 + t * g1 <= high``; an empty one starts after its end."""
+    slope = F.when(g1 != 0, g1)
+    one, two = (low - g0) / slope, (high - g0) / slope
+    level = F.when(g0.between(low, high), float("-inf")).otherwise(float("inf"))
+    return F.coalesce(F.least(one, two), level), F.coalesce(F.greatest(one, two), -level)
+
+
+def within_reach(pairs: DataFrame, margins: dict[str, float]) -> DataFrame:
+    """Parts of edges that are at most ``reach`` from a line segment, a struct (low, high) per margin.
+
+    ``pairs`` holds the edge a_x1 .. a_y2, the segment b_x1 .. b_y2 and ``reach``, to which the margin is
+    added. Positions run from 0 to 1 along the edge and may lie outside. What is that close to a segment
+    is a convex capsule, the union of two discs and a strip, so the part is one interval: from the first
+    start to the last end of the three. Null or empty where there is none.
+    """
+    x1, y1, x2, y2, ax, ay, bx, by = (F.col(p + c) for p in ("a_", "b_") for c in ("x1", "y1", "x2", "y2"))
+    dx, dy, ex, ey, l2, e2 = (F.col(c) for c in ("dx__", "dy__", "ex__", "ey__", "l2__", "e2__"))
+    kept = pairs.columns
+    steps = pairs.withColumns({"dx__": x2 - x1, "dy__": y2 - y1, "ex__": bx - ax, "ey__": by - ay})
+    steps = steps.withColumns({"l2__": dx * dx + dy * dy, "e2__": ex * ex + ey * ey})
+    discs = {"1__": (x1 - ax, y1 - ay), "2__": (x1 - bx, y1 - by)}
+    steps = steps.withColumns({
+        **{f"along{k}": (fx * dx + fy * dy) for k, (fx, fy) in discs.items()}, **{f"far{k}": fx * fx + fy * fy for k, (fx, fy) in discs.items()},
+        "u0__": (x1 - ax) * ex + (y1 - ay) * ey, "u1__": dx * ex + dy * ey, "v0__": ex * (y1 - ay) - ey * (x1 - ax), "v1__": ex * dy - ey * dx, "e__": F.sqrt(e2),
+    })
+    u = _between(F.col("u0__"), F.col("u1__"), F.lit(0.0), e2)
+    steps = G.once(steps, u__=F.struct(*[v.alias(c) for v, c in zip(u, ("low", "high"))]))
+    for name, margin in margins.items():
+        reach = F.col("reach") + margin
+        room = {k: F.col(f"along{k}") * F.col(f"along{k}") - l2 * (F.col(f"far{k}") - reach * reach) for k in discs}
+        v = _between(F.col("v0__"), F.col("v1__"), -reach * F.col("e__"), reach * F.col("e__"))
+        halves = {f"half{k}": F.sqrt(F.when(r >= 0, r)) for k, r in room.items()}
+        steps = G.once(steps, **halves, v__=F.struct(*[w.alias(c) for w, c in zip(v, ("low", "high"))]))
+        steps = steps.withColumns({"low__": F.greatest("u__.low", "v__.low"), "high__": F.least("u__.high", "v__.high")})
+        strip = (e2 > 0) & (F.col("low__") <= F.col("high__"))
+        low = F.least(*[(-F.col(f"along{k}") - F.col(f"half{k}")) / l2 for k in discs], F.when(strip, F.col("low__")))
+        high = F.greatest(*[(-F.col(f"along{k}") + F.col(f"half{k}")) / l2 for k in discs], F.when(strip, F.col("high__")))
+        steps = G.once(steps, **{name: F.struct(low.alias("low"), high.alias("high"))})
+        kept = [*kept, name]
+    return steps.select(*kept)
+
+
+#: samples whose distance is closer than this to the reach are tested one by one
+DOUBT = 1e-6
+
+
+def _samples_on(part: tuple[Column, Column], n: Column) -> tuple[Column, Column]:
+    """First and last of the samples 0 to ``n`` on a part of the edge; last < first if there is none."""
+    low, high = part
+    first = F.ceil(F.least(F.greatest(low * n, F.lit(0.0)), n + 1.0)).cast("int")
+    last = F.floor(F.greatest(F.least(high * n, n.cast("double")), F.lit(-1.0))).cast("int")
+    return F.coalesce(F.when(low <= high, first), n + 1), F.coalesce(F.when(low <= high, last), F.lit(-1))
+
+
+def _ranges_in_reach(held) -> Column:
+    """Ranges of samples in reach: those surely in reach as one, those in doubt only where ``held``."""
+    none = F.array().cast("array<int>")
+
+    def some(first, last):
+        return F.when(first <= last, F.sequence(first, last)).otherwise(none)
+
+    of, ol, sf, sl = (F.col(f"s.{c}") for c in ("first", "last", "sure_first", "sure_last"))
+    sure = sf <= sl
+    doubtful = F.when(sure, F.concat(some(of, sf - 1), some(sl + 1, ol))).otherwise(some(of, ol))
+    whole = F.array(F.struct(sf.alias("first"), sl.alias("last")))
+    single = F.transform(F.filter(doubtful, held), lambda s: F.struct(s.alias("first"), s.alias("last")))
+    return F.when(sure & (of == sf) & (ol == sl), whole).otherwise(F.when(sure, F.concat(whole, single)).otherwise(single))
+
+
+def covered_samples(parts: DataFrame, keys: list[str], levels: dict[str, int]) -> DataFrame:
+    """Samples per ``keys`` that lie on the union of ranges (first, last) of priority up to each level.
+
+    A sweep along the edge: a range adds what reaches past all ranges before it. Ranges with the same
+    start are folded to the longest before they are shuffled to their edge, so an edge holds at most
+    (samples x priorities) rows however many lines are near.
+    """
+    longest = parts.groupBy(*keys, "priority", "first").agg(F.max("last").alias("last"))
+    before = Window.partitionBy(*keys).orderBy("first", "priority").rowsBetween(Window.unboundedPreceding, -1)
+    added = {}
+    for name, level in levels.items():
+        counted = F.col("priority") <= level
+        reached = F.coalesce(F.max(F.when(counted, F.col("last"))).over(before), F.lit(-1))
+        added[name] = F.when(counted, F.greatest(F.lit(0), F.col("last") - F.greatest(reached, F.col("first") - 1))).otherwise(0)
+    return longest.withColumns(added).groupBy(*keys).agg(*[F.sum(n).alias(n) for n in levels])
+
+
 def edge_support(rings: DataFrame, features: DataFrame, key: str = "parcel_id", own: str | None = None, step: float = 8.0) -> DataFrame:
     """Perimeter support by evidence kind, per ring.
 
-    Every edge is sampled at most ``step`` pixels apart; a sample counts for the strongest kind in
-    reach (road, then wall or fence, then field). A field ring that starts at the same corner with the
+    An edge has samples at most ``step`` pixels apart; a sample counts for the strongest kind in
+    reach (road, then wall or fence, then field). The samples are counted and never become rows: each
+    pair of an edge and a line segment gives the range of samples in reach in closed form, and a sweep
+    along the edge counts the union of the ranges. A field ring that starts at the same corner with the
     same vertex count is the candidate itself and is left out unless it is the named ``own`` feature.
     """
     first = F.element_at("ring", 1)
@@ -253,13 +342,9 @@ def edge_support(rings: DataFrame, features: DataFrame, key: str = "parcel_id",
         "imagery_id", key, *([own] if own else []), "ring", F.size("ring").alias("n_vertices"), first["x"].alias("x0"), first["y"].alias("y0"),
         G.mean_point(F.slice("ring", 1, F.greatest(F.size("ring") - 1, F.lit(1)))).alias("center"),
     )
-    edges = segments(base, "ring").drop("bb").withColumn("len", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).where("len > 0")
+    edges = segments(base, "ring").withColumn("len", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).where("len > 0")
     edges = edges.withColumn("n_samples", F.greatest(F.lit(2), F.ceil(F.col("len") / step)).cast("int"))
-    slim = [key, *([own] if own else []), "imagery_id", "seg", "n_vertices", "x0", "y0", "x1", "y1", "x2", "y2", "n_samples"]
-    samples = edges.select(*slim).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n_samples"))))
-    t = F.col("s") / F.col("n_samples")
-    samples = samples.withColumn("px", F.col("x1") * (1 - t) + F.col("x2") * t).withColumn("py", F.col("y1") * (1 - t) + F.col("y2") * t)
-    samples = samples.drop("x1", "y1", "x2", "y2", "n_samples")
+    slim = [key, *([own] if own else []), "imagery_id", "seg", "n_vertices", "x0", "y0", "x1", "y1", "x2", "y2", "n_samples", "bb"]
     kinds = F.create_map(*[F.lit(v) for k, (p, _) in EVIDENCE.items() for v in (k, p)])
     reach = F.create_map(*[F.lit(v) for k, (_, r) in EVIDENCE.items() for v in (k, r)])
     lines = features.where(F.col("detection_type").isin(*EVIDENCE)).select(
@@ -267,17 +352,31 @@ def edge_support(rings: DataFrame, features: DataFrame, key: str = "parcel_id",
         "pts", F.size("pts").alias("line_vertices"), F.element_at("pts", 1).alias("p0"),
     )
     lines = lines.withColumn("lx0", F.col("p0.x")).withColumn("ly0", F.col("p0.y")).drop("p0")
-    twin = (F.col("priority") == 3) & (F.col("n_vertices") == F.col("line_vertices")) & (F.hypot(F.col("x0") - F.col("lx0"), F.col("y0") - F.col("ly0")) < 5)
+    a, b = (lambda c: F.col("a_" + c)), (lambda c: F.col("b_" + c))
+    twin = (b("priority") == 3) & (a("n_vertices") == b("line_vertices")) & (F.hypot(a("x0") - b("lx0"), a("y0") - b("ly0")) < 5)
     if own:
-        twin = twin & ~(F.col("line_id").eqNullSafe(F.col(own)))
-    condition = (distance_to_segment() <= F.col("reach")) & ~twin
+        twin = twin & ~(b("line_id").eqNullSafe(a(own)))
     targets = segments(lines).drop("seg")
     # without an own feature the line's identity does not matter and copies are folded
     targets = targets if own else targets.drop("line_id").distinct()
-    # dense samples: cells close to the reach keep the tests per sample low
-    hits = near(samples, targets, ["imagery_id"], condition, reach=35.0, cell=40.0)
-    per_sample = hits.groupBy(key, "seg", "s").agg(F.min("priority").alias("kind"))
-    per_edge = per_sample.groupBy(key, "seg").agg(*[F.count_if(F.col("kind") == p).alias(n) for n, p in (("road", 1), ("wall", 2), ("field", 3))])
+    wider = {c: (F.col("bb")[c] + (F.col("reach") if c.endswith("max") else -F.col("reach"))).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")}
+    pairs = overlapping_boxes(edges.select(*slim), targets.withColumn("bb", F.struct(*wider.values())), ["imagery_id"], once=~twin, cell=128.0)
+    ends = ("x1", "y1", "x2", "y2")
+    edge, line = tuple(a(c) for c in ends), tuple(b(c) for c in ends)
+    pairs = pairs.select(a(key).alias(key), a("seg").alias("seg"), b("priority").alias("priority"), a("n_samples").alias("n"), *edge, *line, b("reach").alias("reach"))
+    parts = within_reach(pairs, {"most": DOUBT, "sure": -DOUBT})
+    parts = parts.where("most.low * n <= n AND most.high >= 0")
+    bounds = (*_samples_on((F.col("most.low"), F.col("most.high")), F.col("n")), *_samples_on((F.col("sure.low"), F.col("sure.high")), F.col("n")))
+    parts = G.once(parts, s=F.struct(*[v.alias(c) for v, c in zip(bounds, ("first", "last", "sure_first", "sure_last"))])).where("s.first <= s.last")
+
+    def held(s):
+        t = s / F.col("n")
+        x, y = a("x1") * (1 - t) + a("x2") * t, a("y1") * (1 - t) + a("y2") * t
+        return G.point_segment_distance(x, y, *line) <= F.col("reach")
+
+    parts = parts.select(key, "seg", "priority", F.inline(_ranges_in_reach(held)))
+    per_edge = covered_samples(parts, [key, "seg"], {"to_road": 1, "to_wall": 2, "to_field": 3})
+    per_edge = per_edge.select(key, "seg", F.col("to_road").alias("road"), (F.col("to_wall") - F.col("to_road")).alias("wall"), (F.col("to_field") - F.col("to_wall")).alias("field"))
     e = edges.select(key, "seg", "len", "n_samples", "center", "x1", "y1", "x2", "y2").join(per_edge, [key, "seg"], "left")
     total = F.col("n_samples") + 1
     for n in ("road", "wall", "field"):

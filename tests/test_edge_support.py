@@ -1,0 +1,101 @@
+"""Edge support against a count of every sample, on slanted, touching and repeated lines."""
+
+import math
+import random
+
+from pyspark.sql import functions as F
+
+from cadastre.operators import joins as J
+
+SCHEMA_RINGS = "imagery_id long, parcel_id long, mine long, ring array<struct<x: double, y: double>>"
+SCHEMA_LINES = "imagery_id long, feature_id long, detection_type string, pts array<struct<x: double, y: double>>"
+
+
+def counted(rings, lines, own):
+    """Samples per (parcel, edge) and priority, one by one."""
+    out = {}
+    for image, parcel, mine, ring in rings:
+        for seg, (a, b) in enumerate(zip(ring, ring[1:])):
+            length = math.hypot(b[0] - a[0], b[1] - a[1])
+            if length == 0:
+                continue
+            n = max(2, math.ceil(length / 8))
+            found = [0, 0, 0, 0]
+            for s in range(n + 1):
+                t = s / n
+                x, y = a[0] * (1 - t) + b[0] * t, a[1] * (1 - t) + b[1] * t
+                best = 9
+                for im, fid, kind, pts in lines:
+                    priority, reach = J.EVIDENCE.get(kind, (9, -1))
+                    twin = kind == "FIELD" and len(pts) == len(ring) and math.hypot(ring[0][0] - pts[0][0], ring[0][1] - pts[0][1]) < 5 and not (own and fid == mine)
+                    if im != image or twin:
+                        continue
+                    for u, v in zip(pts, pts[1:]):
+                        ex, ey = v[0] - u[0], v[1] - u[1]
+                        w = min(1.0, max(0.0, ((x - u[0]) * ex + (y - u[1]) * ey) / (ex * ex + ey * ey))) if ex or ey else 0.0
+                        if math.hypot(x - (u[0] + w * ex), y - (u[1] + w * ey)) <= reach:
+                            best = min(best, priority)
+                if best < 4:
+                    found[best] += 1
+            out[parcel, seg] = (n + 1, length, found[1:])
+    return out
+
+
+def test_ranges_equal_the_count_of_every_sample(spark):
+    rng = random.Random(7)
+
+    def place(whole):
+        return tuple(float(rng.randrange(0, 400)) if whole else rng.uniform(0, 400) for _ in "xy")
+
+    rings, lines = [], []
+    for k in range(24):
+        x, y = place(k % 2 == 0)
+        w, h = (40.0, 64.0) if k % 2 == 0 else (rng.uniform(5, 120), rng.uniform(5, 120))
+        rings.append((k % 2, k, 100 + k, [(x, y), (x + w, y), (x + w - k % 7, y + h), (x, y + h), (x, y)]))
+    for j in range(60):
+        x, y = place(j % 3 == 0)
+        kind = ("ROAD", "WALL", "FENCE", "FIELD", "WATER")[j % 5]
+        pts = [(x, y), (x + rng.randrange(-60, 60), y), (x + 7.0, y + rng.randrange(-60, 60))]
+        lines.append((j % 2, j, kind, pts if j % 11 else [(x, y), (x, y)]))
+    for k in range(0, 24, 3):  # lines at exactly the reach of an edge, and the candidate's own ring
+        (x, y), (x2, _) = rings[k][3][:2]
+        lines.append((k % 2, 200 + k, "WALL", [(x + 3, y - 25), (x2 - 3, y - 25)]))
+        lines.append((k % 2, 300 + k, "ROAD", [(x - 35, y), (x - 35, y + 10)]))
+        lines.append((k % 2, 100 + k, "FIELD", rings[k][3]))
+    lines.append(lines[0])
+    named = lambda path: [{"x": x, "y": y} for x, y in path]
+    r = spark.createDataFrame([(i, p, m, named(ring)) for i, p, m, ring in rings], SCHEMA_RINGS)
+    f = spark.createDataFrame([(i, k, c, named(pts)) for i, k, c, pts in lines], SCHEMA_LINES)
+    for own in (None, "mine"):
+        wanted = counted(rings, lines, own)
+        got = {row.parcel_id: row for row in J.edge_support(r, f, own=own).collect()}
+        assert len(got) == len(rings)
+        for parcel in got:
+            edges = [v for (p, _), v in wanted.items() if p == parcel]
+            total = sum(length for _, length, _ in edges)
+            for place_, name in enumerate(("road_pct", "wall_fence_pct", "field_pct")):
+                share = sum(length * found[place_] / n for n, length, found in edges) / total * 100
+                assert abs(got[parcel][name] - share) <= 0.5 + 1e-6, (own, parcel, name)
+
+
+def test_no_lines_and_no_rings(spark):
+    r = spark.createDataFrame([(1, 1, 1, [{"x": 0.0, "y": 0.0}, {"x": 10.0, "y": 0.0}, {"x": 0.0, "y": 10.0}, {"x": 0.0, "y": 0.0}])], SCHEMA_RINGS)
+    f = spark.createDataFrame([], SCHEMA_LINES)
+    row = J.edge_support(r, f).first()
+    assert (row.supported_pct, row.unsupported_edges) == (0, 3)
+    assert J.edge_support(r.where("false"), f).isEmpty()
+
+
+def test_a_sweep_counts_overlapping_and_nested_ranges_once(spark):
+    parts = spark.createDataFrame([(1, 1, 0, 3), (1, 2, 2, 8), (1, 1, 5, 6), (1, 3, 0, 9), (1, 3, 0, 4), (2, 3, 4, 4)], "k int, priority int, first int, last int")
+    rows = {r.k: (r.a, r.b, r.c) for r in J.covered_samples(parts, ["k"], {"a": 1, "b": 2, "c": 3}).collect()}
+    assert rows == {1: (6, 9, 10), 2: (0, 0, 1)}
+
+
+def test_samples_never_become_rows(spark, small):
+    import __spark_entry__ as entry
+
+    df = entry.queries()["j12_edge_support"](spark, small)
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "sequence(0, n_samples" not in text and "Python" not in text
+    assert text.count("Exchange hashpartitioning") <= 7
