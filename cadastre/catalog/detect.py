@@ -155,14 +155,15 @@ def m24(spark, d):
     return b.select("imagery_id", "block_id", *[G.js_round(F.col(c), 3).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-@query("m25_water_clip", sql("parcels", body="""SELECT parcel_id, (2*w-5)*h/2e0-CASE WHEN parcel_id%2=0 THEN 8*least(7,h) ELSE 0 END AS area FROM parcels WHERE shape<>'bowtie'"""))
+@query("m25_water_clip", sql("parcels", body="""SELECT parcel_id, CASE WHEN shape='bowtie' THEN 0 ELSE (2*w-5)*h/2e0-CASE WHEN parcel_id%2=0 THEN 8*least(7,h) ELSE 0 END END AS area FROM parcels"""))
 def m25(spark, d):
-    p = M.repair_rings(D.parcels(spark, d).where("shape <> 'bowtie'"))
+    p = M.repair_rings(D.parcels(spark, d))
     # every parcel has its own image here, so the area is known in closed form
     p = p.withColumn("imagery_id", F.col("parcel_id"))
-    x, y = F.col("x0") + F.col("w"), F.col("y0")
+    # bow-ties (whose halves cancel out) and odd parcels have their pool out of touch
+    x, y = F.col("x0") + F.col("w") + F.when((F.col("parcel_id") % 2 == 0) & (F.col("shape") != "bowtie"), 0).otherwise(40), F.col("y0")
     pool = G.ring((x - 8, y - 5), (x + 8, y - 5), (x + 8, y + 7), (x - 8, y + 7), (x - 8, y - 5))
-    water = p.where("parcel_id % 2 = 0").select("imagery_id", F.col("parcel_id").alias("feature_id"), pool.alias("ring"))
+    water = p.select("imagery_id", F.col("parcel_id").alias("feature_id"), pool.alias("ring"))
     return P.water_clip(p, water).select("parcel_id", G.js_round(G.planar_area(F.col("clipped")), 4).alias("area"))
 
 

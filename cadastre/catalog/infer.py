@@ -15,21 +15,27 @@ from cadastre.session import cut_lineage
 from cadastre.sources import derived as D
 
 
-def mixed_features(spark, d):
-    """Odd images lose their buildings, so both inference strategies run."""
-    return D.features(spark, d).where("NOT (imagery_id % 2 = 1 AND detection_type = 'BUILDING')")
+def bare_and_built(spark, d):
+    """All features and images, and every image again, with ids of its own, where buildings are vegetation,
+    so both inference strategies run over whole tables."""
+    f, images = D.features(spark, d), D.imagery(spark, d)
+    bare = f.withColumns({
+        "feature_id": -1 - F.col("feature_id"), "imagery_id": F.col("imagery_id") + 1000,
+        "detection_type": F.when(F.col("detection_type") == "BUILDING", "VEGETATION").otherwise(F.col("detection_type")),
+    })
+    return f.unionByName(bare), images.unionByName(images.withColumn("imagery_id", F.col("imagery_id") + 1000))
 
 
 @query("p01_infer_parcels")
 def p01(spark, d):
-    r = I.infer_parcels(mixed_features(spark, d), D.imagery(spark, d))
+    r = I.infer_parcels(*bare_and_built(spark, d))
     return r.parcels.select("imagery_id", "candidate_id", "kind", "candidate_status", "confidence", "supported_pct", "road_pct", "wall_fence_pct", G.js_round(F.col("area")).alias("area"))
 
 
 @query("s16_generate_and_audit")
 def s16(spark, d):
-    images = D.imagery(spark, d)
-    r = I.infer_parcels(mixed_features(spark, d), images)
+    features, images = bare_and_built(spark, d)
+    r = I.infer_parcels(features, images)
     parcels = r.parcels.join(images.select("imagery_id", "project_id", "is_georeferenced"), "imagery_id").select(
         F.col("candidate_id").alias("parcel_id"), "project_id", "imagery_id", "status", "confidence", F.lit(None).cast("string").alias("topology_issue"), "is_georeferenced", "ring"
     )
@@ -200,18 +206,20 @@ def p10(spark, d):
     return I.candidate_reasons(*judged_candidates(spark, d)).select("candidate_id", "reason")
 
 
-@query("p10_duplicate_candidates", sql("parcels", body=""", b AS (SELECT parcel_id, imagery_id, coalesce(confidence,0) AS conf, x0-20 AS xa, y0-20 AS ya, x0+w+20 AS xb, y0+h+20 AS yb FROM parcels WHERE coalesce(confidence,0)>=0.6 AND parcel_id%100>=35 AND h>5),
+@query("p10_duplicate_candidates", sql("parcels", body=""", b0 AS (SELECT parcel_id, imagery_id, coalesce(confidence,0) AS conf, x0-20 AS xa, y0-20 AS ya, x0+w+20 AS xb, y0+h+20 AS yb FROM parcels),
+  rs AS (SELECT parcel_id, CASE WHEN (xb-xa)*(yb-ya)-50-(xb-xa-10)*5<3600 THEN 'invalid geometry' WHEN parcel_id%100<35 OR conf<0.6 THEN 'insufficient boundary evidence' END AS reason FROM b0),
+  b AS (SELECT b0.* FROM b0 JOIN rs USING (parcel_id) WHERE reason IS NULL),
   q AS (SELECT a.parcel_id AS s, z.parcel_id AS w, (least(a.xb,z.xb)-greatest(a.xa,z.xa))*(least(a.yb,z.yb)-greatest(a.ya,z.ya)) AS i, (a.xb-a.xa)*(a.yb-a.ya)+(z.xb-z.xa)*(z.yb-z.ya) AS t FROM b a JOIN b z ON a.imagery_id=z.imagery_id AND (a.conf>z.conf OR (a.conf=z.conf AND a.parcel_id<z.parcel_id))
-    AND a.xa<z.xb AND z.xa<a.xb AND a.ya<z.yb AND z.ya<a.yb), pairs AS (SELECT s, w FROM q WHERE i/CAST(t-i AS DOUBLE)>0.45e0)""" + greedy_sql() + " SELECT parcel_id AS candidate_id, CASE WHEN parcel_id IN (SELECT id FROM dropped) THEN 'duplicate' END AS reason FROM b"))
+    AND a.xa<z.xb AND z.xa<a.xb AND a.ya<z.yb AND z.ya<a.yb), pairs AS (SELECT s, w FROM q WHERE i/CAST(t-i AS DOUBLE)>0.45e0)""" + greedy_sql() + " SELECT parcel_id AS candidate_id, CASE WHEN parcel_id IN (SELECT id FROM dropped) THEN 'duplicate' ELSE reason END AS reason FROM rs"))
 def p10_duplicates(spark, d):
-    # hexagon-like rings pass every gate but the duplicate one
+    # rings with cut corners are no boxes, and the water lies in other images
     x1, y1, x2, y2 = F.col("x0") - 20, F.col("y0") - 20, F.col("x0") + F.col("w") + 20, F.col("y0") + F.col("h") + 20
     ring = G.ring((x1 + 10, y1), (x2, y1 + 10), (x2, y2), (x1, y2), (x1, y1 + 10), (x1 + 10, y1))
-    p = D.parcels(spark, d).where("coalesce(confidence, 0) >= 0.6 AND parcel_id % 100 >= 35 AND h > 5").select(
+    p = D.parcels(spark, d).select(
         "imagery_id", F.col("parcel_id").alias("candidate_id"), ring.alias("ring"), "confidence", (F.col("parcel_id") % 100).cast("int").alias("supported_pct"), F.lit(10).alias("unsupported_pct"), F.lit(True).alias("is_field")
     )
-    no_water = features_of(spark, d, "WATER").where("false").select("imagery_id", F.col("pts").alias("ring"))
-    return I.validate_candidates(p.withColumn("area_floor", F.lit(0)), no_water).select("candidate_id", "reason")
+    water = features_of(spark, d, "WATER").select((F.col("imagery_id") + 1000).alias("imagery_id"), F.col("pts").alias("ring"))
+    return I.validate_candidates(p, water).select("candidate_id", "reason")
 
 
 @query("p11_bbox_iou", sql("parcels", body=""", q AS (SELECT a.parcel_id AS parcel_a, b.parcel_id AS parcel_b, (least(a.x0+a.w,b.x0+b.w)-greatest(a.x0,b.x0))*(least(a.y0+a.h,b.y0+b.h)-greatest(a.y0,b.y0)) AS i, a.w*a.h+b.w*b.h AS t FROM parcels a JOIN parcels b

@@ -157,9 +157,10 @@ def r08(spark, d):
     return s.select("imagery_id", "n", "xmin", "xmax", "ymin", "ymax")
 
 
-# given labels: the palette patch a pixel belongs to, by class
-LABELS = """, lab AS (SELECT imagery_id, x, y, luma, r, imagery_id*100+(x//8)*10+(y//8) AS label, ['road','building','field','vegetation','water'][1+(x//8+y//8+imagery_id)%5] AS feature_class FROM idx),
-  st AS (SELECT imagery_id, label, feature_class, count(*) AS n, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM lab WHERE (x+y+imagery_id)%11<>0 AND NOT (feature_class='road' AND y%8>1) GROUP BY 1,2,3),
+# given labels: the palette patch a pixel belongs to, by class; every eleventh pixel and the lower part of road patches form a second component
+LABELS = """, lb0 AS (SELECT *, ['road','building','field','vegetation','water'][1+(x//8+y//8+imagery_id)%5] AS patch FROM idx), lb1 AS (SELECT *, (x+y+imagery_id)%11=0 OR (patch='road' AND y%8>1) AS apart FROM lb0),
+  lab AS (SELECT imagery_id, x, y, luma, r, imagery_id*100+(x//8)*10+(y//8)+CASE WHEN apart THEN 1000000 ELSE 0 END AS label, CASE WHEN apart THEN 'vegetation' ELSE patch END AS feature_class FROM lb1),
+  st AS (SELECT imagery_id, label, feature_class, count(*) AS n, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM lab GROUP BY 1,2,3),
   sg AS (SELECT *, xmax-xmin AS w, ymax-ymin AS h, n/3072e0 AS fr, greatest(xmax-xmin,ymax-ymin)/CAST(greatest(1,least(xmax-xmin,ymax-ymin)) AS DOUBLE) AS asp, (xmax-xmin)/CAST(greatest(1,ymax-ymin) AS DOUBLE) AS ra, n/CAST(greatest(1,(xmax-xmin)*(ymax-ymin)) AS DOUBLE) AS co FROM st)"""
 
 
@@ -167,9 +168,9 @@ def given_stats(spark, d):
     i = R.indices(D.pixels(spark, d))
     classes = F.array(*[F.lit(c) for c in ("road", "building", "field", "vegetation", "water")])
     px, py = F.expr("x DIV 8"), F.expr("y DIV 8")
-    lab = i.withColumn("label", F.col("imagery_id") * 100 + px * 10 + py).withColumn("feature_class", F.get(classes, ((px + py + F.col("imagery_id")) % 5).cast("int")))
-    kept = lab.where("(x + y + imagery_id) % 11 <> 0 AND NOT (feature_class = 'road' AND y % 8 > 1)")
-    return kept.groupBy("imagery_id", "label", "feature_class").agg(
+    lab = i.withColumn("patch", F.get(classes, ((px + py + F.col("imagery_id")) % 5).cast("int"))).withColumn("apart", F.expr("(x + y + imagery_id) % 11 = 0 OR (patch = 'road' AND y % 8 > 1)"))
+    lab = lab.withColumn("label", F.col("imagery_id") * 100 + px * 10 + py + F.when(F.col("apart"), 1000000).otherwise(0)).withColumn("feature_class", F.when(F.col("apart"), "vegetation").otherwise(F.col("patch")))
+    return lab.groupBy("imagery_id", "label", "feature_class").agg(
         F.count("*").alias("n"), F.min("x").alias("xmin"), F.max("x").alias("xmax"), F.min("y").alias("ymin"), F.max("y").alias("ymax"), F.stddev_pop("luma").alias("deviation"), F.avg("r").alias("mean_red")
     )
 
@@ -208,7 +209,7 @@ def r10(spark, d):
     )
 
 
-@query("r11_component_spine", sql("pixels", body=IDX + """, lb AS (SELECT imagery_id, x, y, imagery_id*2+CASE WHEN y<imagery_id%30+9 THEN 0 ELSE 1 END AS label FROM idx WHERE (x*3+y*(1+imagery_id%4))%29<14),
+@query("r11_component_spine", sql("pixels", body=IDX + """, lb AS (SELECT imagery_id, x, y, imagery_id*4+CASE WHEN y<imagery_id%30+9 THEN 0 ELSE 1 END+CASE WHEN (x*3+y*(1+imagery_id%4))%29<14 THEN 0 ELSE 2 END AS label FROM idx),
   m AS (SELECT label, avg(x) AS mx, avg(y) AS my, var_pop(x) AS cxx, var_pop(y) AS cyy, covar_pop(x,y) AS cxy, min(x) AS xa, max(x) AS xb, min(y) AS ya, max(y) AS yb FROM lb GROUP BY 1),
   th AS (SELECT *, 0.5e0*atan2(2*floor(cxy*1e9+0.5)/1e9, floor((cxx-cyy)*1e9+0.5)/1e9) AS theta FROM m),
   p AS (SELECT lb.imagery_id, label, x, y, floor(((x-mx)*cos(theta)+(y-my)*sin(theta))*1000000+0.5)/1000000 AS t FROM lb JOIN th USING (label)),
@@ -217,8 +218,9 @@ def r10(spark, d):
   SELECT label, slice, CAST(floor(avg(x)+0.5) AS BIGINT) AS x, CAST(floor(avg(y)+0.5) AS BIGINT) AS y FROM b GROUP BY 1,2
   UNION ALL SELECT label, 0, xa, ya FROM m JOIN s USING (label) WHERE rg<10 UNION ALL SELECT label, 1, xb, yb FROM m JOIN s USING (label) WHERE rg<10"""))
 def r11(spark, d):
-    px = D.pixels(spark, d).where("(x * 3 + y * (1 + imagery_id % 4)) % 29 < 14")
-    label = F.col("imagery_id") * 2 + F.when(F.col("y") < F.col("imagery_id") % 30 + 9, 0).otherwise(1)
+    px = D.pixels(spark, d)
+    striped = F.expr("(x * 3 + y * (1 + imagery_id % 4)) % 29 < 14")
+    label = F.col("imagery_id") * 4 + F.when(F.col("y") < F.col("imagery_id") % 30 + 9, 0).otherwise(1) + F.when(striped, 0).otherwise(2)
     return R.component_spine(px.select("imagery_id", "x", "y", label.alias("label"))).select("label", "slice", "x", "y")
 
 

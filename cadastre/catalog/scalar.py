@@ -21,15 +21,18 @@ def n01(spark, d):
 PARTLY_PLACED = "CASE WHEN parcel_id%9=0 THEN NULL ELSE imagery_id END"
 
 
-@query("n02_scope_parcels", sql("parcels", "imagery", body=f""", p AS (SELECT parcel_id, project_id, status, {PARTLY_PLACED} AS imagery_id FROM parcels),
-  im AS (SELECT project_id, imagery_id FROM imagery WHERE project_id<>1 OR imagery_id=1),
+@query("n02_scope_parcels", sql("parcels", "imagery", body=f""", p AS (SELECT parcel_id, project_id, status, {PARTLY_PLACED} AS imagery_id FROM parcels UNION ALL SELECT -1-parcel_id, project_id+1000, status, {PARTLY_PLACED}+1000 FROM parcels),
+  im AS (SELECT project_id, imagery_id FROM imagery UNION ALL SELECT project_id+1000, min(imagery_id)+1000 FROM imagery GROUP BY 1),
   n AS (SELECT project_id, count(*) AS images, min(imagery_id) AS only_image FROM im GROUP BY 1)
   SELECT parcel_id, project_id, coalesce(imagery_id, only_image) AS scope_imagery_id, coalesce(images,0) AS images
   FROM p LEFT JOIN n USING (project_id) WHERE status<>'Deleted' AND (imagery_id IS NOT NULL OR coalesce(images,0)<=1)"""))
 def n02(spark, d):
     parcels = D.parcels(spark, d).withColumn("imagery_id", F.expr(PARTLY_PLACED))
-    # project 1 keeps a single image, so the single-image rule is exercised
-    images = D.imagery(spark, d).where("project_id <> 1 OR imagery_id = 1")
+    images = D.imagery(spark, d)
+    # every project comes again, with ids of its own and a single image, for the single-image rule
+    again = parcels.withColumns({"parcel_id": -1 - F.col("parcel_id"), "project_id": F.col("project_id") + 1000, "imagery_id": F.col("imagery_id") + 1000})
+    single = images.groupBy((F.col("project_id") + 1000).alias("project_id")).agg((F.min("imagery_id") + 1000).alias("imagery_id"))
+    parcels, images = parcels.unionByName(again), images.select("project_id", "imagery_id").unionByName(single)
     return N.scope_parcels(parcels, images).select("parcel_id", "project_id", "scope_imagery_id", "images")
 
 
@@ -110,7 +113,9 @@ def n08(spark, d):
         "confidence",
         (F.col("project_id") == 4).alias("is_demo"),
     )
-    plots = p.where("parcel_id % 4 = 1").select(F.col("parcel_id").cast("string").alias("plot_no"), triangle.alias("boundary"))
+    # every parcel has a plot; three of four carry a number no parcel refers to
+    number = F.when(F.col("parcel_id") % 4 == 1, F.col("parcel_id").cast("string")).otherwise(F.concat(F.lit("old "), "parcel_id"))
+    plots = p.select(number.alias("plot_no"), triangle.alias("boundary"))
     return N.canonical_parcel(raw, plots).select(
         "parcel_id", "parcel_number", "survey_number", "village", "latitude", "longitude", "area", "confidence_text", "source",
         F.when(F.col("boundary").isNotNull(), F.size("boundary")).alias("boundary_points"),

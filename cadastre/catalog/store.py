@@ -143,11 +143,12 @@ def s12(spark, d):
 
 
 @query("s13_import_parcels", sql("facts", body="""SELECT parcel_id+500000 AS parcel_id, coalesce(confidence,0.85e0) AS confidence, CASE WHEN parcel_id%2=0 THEN status ELSE 'needs_review' END AS status, 'Manual / Imported' AS source,
-  CASE WHEN geo THEN 0 ELSE CAST(floor(raw_area+0.5) AS BIGINT) END AS area_px, CASE WHEN geo THEN CAST(floor(area+0.5) AS BIGINT) ELSE 0 END AS area_sqm FROM facts"""))
+  CASE WHEN geo THEN 0 ELSE CAST(floor(raw_area+0.5) AS BIGINT) END AS area_px, CASE WHEN geo THEN CAST(floor(area+0.5) AS BIGINT) ELSE 0 END AS area_sqm FROM facts
+  UNION ALL SELECT parcel_id, confidence, status, NULL, NULL, NULL FROM facts"""))
 def s13(spark, d):
     w = working(spark, d)
     rows = w.select((F.col("parcel_id") + 500000).alias("parcel_id"), "mode", "ring", "confidence", F.expr("CASE WHEN parcel_id%2=0 THEN status END").alias("status"), F.lit(None).cast("string").alias("source"))
-    existing = w.where("false").select("parcel_id", "project_id")
+    existing = w.select("parcel_id", "project_id", "confidence", "status")
     return T.import_parcels(existing, rows).select("parcel_id", "confidence", "status", "source", "area_px", "area_sqm")
 
 
@@ -290,10 +291,13 @@ def l09(spark, d):
     return u.unionByName(D.events(spark, d).where("parcel_id = 42").select(F.lit("verification").alias("kind"), F.col("event_id").alias("item_id")))
 
 
-@query("d13_detection_run_write", sql("features", body="""SELECT imagery_id, count(*) AS written, count(*) AS persisted, 'DETECTION COMPLETE' AS processing_status FROM features WHERE confidence>=0.5 AND imagery_id<>9 GROUP BY 1"""))
+@query("d13_detection_run_write", sql("features", body="""SELECT imagery_id, count(*) AS stored, count(*) AS written, count(*) AS persisted, 'DETECTION COMPLETE' AS processing_status FROM features GROUP BY 1
+  UNION ALL SELECT imagery_id+1000, count(*), NULL, NULL, NULL FROM features GROUP BY 1"""))
 def d13(spark, d):
-    f = D.features(spark, d).select("feature_id", "imagery_id", "confidence")
-    table = f.select("feature_id", "imagery_id", (F.col("imagery_id") % 5).alias("project_id"))
-    found = f.where("confidence >= 0.5 AND imagery_id <> 9").select("feature_id", "imagery_id")
-    _, counts = T.detection_run(table, found, F.col("imagery_id") % 5, "run_1")
-    return counts.select("imagery_id", "written", "persisted", "processing_status")
+    found = D.features(spark, d).select("feature_id", "imagery_id")
+    # the table holds older rows of the run's images, which it replaces, and images of their own, which stay
+    older, others = F.col("imagery_id"), F.col("imagery_id") + 1000
+    table = found.select((-1 - F.col("feature_id")).alias("feature_id"), F.explode(F.array(older, others)).alias("imagery_id")).withColumn("project_id", F.col("imagery_id") % 5)
+    merged, counts = T.detection_run(table, found, F.col("imagery_id") % 5, "run_1")
+    stored = merged.groupBy("imagery_id").agg(F.count("*").alias("stored"))
+    return stored.join(counts, "imagery_id", "left").select("imagery_id", "stored", "written", "persisted", "processing_status")

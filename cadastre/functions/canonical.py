@@ -28,6 +28,7 @@ DEFAULT_THRESHOLD = 0.60
 # fixed values: (high, medium) lower bounds
 LABEL_BANDS = {"detection": (0.80, 0.60), "parcel": (0.85, 0.70)}
 
+# fixed value: text of a missing area
 AREA_UNAVAILABLE = "Area unavailable — imagery is not georeferenced."
 
 
