@@ -58,6 +58,7 @@ def split_by_threshold(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     return scored.where(~weak).drop("threshold"), rejected
 
 
+# fixed values: drawing order of map layers
 LAYER_RANKS = (("water", 1), ("field", 2), ("veg", 3), ("build", 4), ("wall", 5), ("fence", 6), ("road", 7))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cadastre.functions import canonical as C, geom as G
 from cadastre.operators import history as H
 
+# fixed values: texts of reports
 DEFAULT_REVIEWER = "Lead Cadastral Surveyor"
 DEFAULT_SOURCE = "AI Detection & Spatial Reasoning"
 DISCLAIMER = "AI-assisted parcel boundaries are preliminary and require appropriate human and/or official cadastral verification."
