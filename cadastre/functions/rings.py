@@ -283,6 +283,7 @@ def difference_outline(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 simplified = per_ring(keep_corners)
 simplified_ring = per_ring(keep_ring_corners)
+simplified_path = per_ring(lambda pts, t: (keep_ring_corners if len(pts) > 2 and (pts[0] == pts[-1]).all() else keep_corners)(pts, t))
 regularised = per_ring(regular_ring)
 hull_ring = per_ring(lambda pts, _: hull(pts))
 squared = per_ring(square_up)
