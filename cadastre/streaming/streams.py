@@ -7,12 +7,18 @@ its checkpoint. ``replay`` runs a stream over the files present and returns what
 from __future__ import annotations
 
 import uuid
-from pyspark.sql import DataFrame, SparkSession, functions as F
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cadastre.operators import history as H
 from cadastre.session import ensure_checkpoint_dir
 from cadastre.sources.store import register_imagery, uploads_from_files
 
+#: state store that keyed list states need
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """Folder under the shared checkpoint folder."""
@@ -42,31 +48,77 @@ def job_progress(updates: DataFrame) -> DataFrame:
     return g.select("job_id", "last.status", "last.progress", F.col("last.ts").alias("updated_at"), "log_lines")
 
 
+class DayNumbers(StatefulProcessor):
+    """Numbers of the events of one parcel and day, in the order of (us, event_id).
+
+    State is the list of the day's events and its last one. Events that come in order are appended
+    unread; a late one makes the list be read and written anew, and what it moves is emitted again. An event
+    that comes again with the same time counts once.
+    """
+
+    EVENT = "us bigint, event_id bigint, action string"
+    OUT = "parcel_id bigint, day date, event_id bigint, us bigint, action string, number bigint"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.events = handle.getListState("events", self.EVENT)
+        self.last = handle.getValueState("last", "us bigint, event_id bigint, number bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = pd.concat(list(rows))[["us", "event_id", "action"]].drop_duplicates(["us", "event_id"]).sort_values(["us", "event_id"])
+        fresh = [(int(u), int(i), a) for u, i, a in new.itertuples(index=False)]
+        us, event_id, count = self.last.get() if self.last.exists() else (None, None, 0)
+        if count == 0 or fresh[0][:2] > (us, event_id):
+            self.events.appendList(fresh)
+            moved, first = fresh, count
+        else:
+            stored = [tuple(e) for e in self.events.get()]
+            known = {e[:2] for e in stored}
+            fresh = [e for e in fresh if e[:2] not in known]
+            if not fresh:
+                return
+            every = sorted(stored + fresh, key=lambda e: e[:2])
+            self.events.put(every)
+            first = next(i for i, e in enumerate(every) if e[:2] == fresh[0][:2])
+            moved = every[first:]
+        self.last.update((*moved[-1][:2], first + len(moved)))
+        out = pd.DataFrame(moved, columns=["us", "event_id", "action"])
+        yield out.assign(parcel_id=key[0], day=key[1], number=range(first + 1, first + len(moved) + 1))[["parcel_id", "day", "event_id", "us", "action", "number"]]
+
+    def close(self) -> None:
+        pass
+
+
+def _untimed():
+    """Stands for a missing time, before all others."""
+    return F.timestamp_micros(F.lit(-(10**16)))
+
+
+def day_numbers(events: DataFrame) -> DataFrame:
+    """Running (parcel_id, day, event_id, us, action, number); an event comes again when its number moves."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    at = F.coalesce(F.col("ts").cast("timestamp"), _untimed())
+    slim = events.select("parcel_id", F.to_date(at).alias("day"), F.unix_micros(at).alias("us"), "event_id", "action")
+    slim = slim.select(*[F.col(c).cast("bigint").alias(c) if c in ("parcel_id", "event_id") else F.col(c) for c in slim.columns])
+    return slim.groupBy("parcel_id", "day").transformWithStateInPandas(DayNumbers(), DayNumbers.OUT, "Update", "None")
+
+
 def versions(events: DataFrame, name: str = "versions") -> DataFrame:
     """Gap-free version numbers per parcel over the available files, as ``number_rows`` gives them in batch.
 
-    Every batch stores its events in a partition of its own, then numbers the stored events of the
-    parcels it touched anew, so a late event moves the later versions up. A repeated batch overwrites what
-    it wrote and an event that comes twice counts once. Returns the latest number of every event.
+    The stream numbers events within (parcel, day), so a parcel with very many events is spread over its
+    days and no batch reads stored events again; the counts of earlier days are added when the result is
+    read. Late events move later numbers. An event that comes twice counts once. Events without a time
+    come first, those without a parcel are numbered together.
     """
-    spark = events.sparkSession
-    path = scratch(spark, name)
-    slim = events.select("event_id", "parcel_id", "ts", "action")
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/events/batch={batch_id}")
-        stored = session.read.parquet(f"{path}/events").where(F.col("batch") <= batch_id)
-        touched = session.read.parquet(f"{path}/events/batch={batch_id}").select("parcel_id").distinct()
-        again = stored.join(touched, "parcel_id", "left_semi").drop("batch").dropDuplicates(["event_id"])
-        numbered = H.number_rows(again, ["parcel_id"], ["ts", "event_id"], F.date_trunc("day", "ts")).withColumnRenamed("number", "version_number")
-        numbered.write.mode("overwrite").parquet(f"{path}/versions/batch={batch_id}")
-
-    writer = slim.writeStream.option("checkpointLocation", path + "/offsets").trigger(availableNow=True)
-    writer.foreachBatch(save).start().awaitTermination()
-    written = spark.read.parquet(path + "/versions")
-    latest = F.max_by(F.struct("parcel_id", "ts", "action", "version_number"), "batch")
-    return written.groupBy("event_id").agg(latest.alias("v")).select("event_id", "v.*")
+    numbers = replay(day_numbers(events), name, ["parcel_id", "day", "event_id", "us"])
+    sizes = numbers.groupBy("parcel_id", "day").agg(F.max("number").alias("size"))
+    before = Window.partitionBy("parcel_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("parcel_id", "day", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("earlier"))
+    at = F.timestamp_micros("us")
+    ts = F.when(at != _untimed(), at).cast(events.schema["ts"].dataType).alias("ts")
+    shift = shift.withColumnsRenamed({"parcel_id": "p__", "day": "d__"})
+    both = numbers.join(shift, F.col("parcel_id").eqNullSafe(F.col("p__")) & (F.col("day") == F.col("d__")))
+    return both.select("event_id", "parcel_id", ts, "action", (F.col("number") + F.col("earlier")).alias("version_number"))
 
 
 def activity_counts(activities: DataFrame, delay: str = "2 hours", width: str = "1 hour") -> DataFrame:

@@ -39,6 +39,27 @@ def test_a_late_event_moves_later_versions(spark, tmp_path):
     assert {(r.event_id, r.version_number) for r in got.collect()} == {(2, 1), (1, 2)}
 
 
+def test_only_moved_numbers_are_emitted(spark, tmp_path):
+    path = str(tmp_path / "e")
+    batches = [[(1, 7, "2024-01-02 00:00:00"), (3, 7, "2024-01-02 06:00:00")], [(4, 7, "2024-01-02 07:00:00"), (9, 7, "2024-01-05 00:00:00")], [(2, 7, "2024-01-02 05:00:00"), (1, 7, "2024-01-02 00:00:00")]]
+    for rows in batches:
+        df = spark.createDataFrame(rows, "event_id long, parcel_id long, ts string").withColumn("action", F.lit("Edited"))
+        df.withColumn("ts", F.to_timestamp_ntz("ts")).coalesce(1).write.mode("append").parquet(path)
+    emitted = []
+    stream = T.day_numbers(T.read_table_stream(spark, path))
+    writer = stream.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).outputMode("update")
+    writer.foreachBatch(lambda b, i: emitted.append(sorted((r.event_id, r.number) for r in b.collect()))).start().awaitTermination()
+    assert emitted == [[(1, 1), (3, 2)], [(4, 3), (9, 1)], [(2, 2), (3, 3), (4, 4)]]
+    assert {(r.event_id, r.version_number) for r in T.versions(T.read_table_stream(spark, path)).collect()} == {(1, 1), (2, 2), (3, 3), (4, 4), (9, 5)}
+
+
+def test_versions_of_events_without_time_or_parcel(spark, tmp_path):
+    df = spark.createDataFrame([(1, 7, "2024-01-02 00:00:00"), (2, 7, None), (3, None, "2024-01-02 00:00:00")], "event_id long, parcel_id long, ts string")
+    df.withColumns({"action": F.lit(None).cast("string"), "ts": F.to_timestamp_ntz("ts")}).coalesce(1).write.parquet(str(tmp_path / "e"))
+    got = T.versions(T.read_table_stream(spark, str(tmp_path / "e"))).collect()
+    assert {(r.event_id, r.parcel_id, r.ts is None, r.version_number) for r in got} == {(1, 7, False, 2), (2, 7, True, 1), (3, None, False, 1)}
+
+
 def test_duplicates_are_dropped_within_the_watermark(spark, small, tmp_path):
     s = split_events(spark, small, str(tmp_path / "e"))
     a = s.select(F.col("event_id").alias("activity_id"), F.col("action").alias("type"), F.col("ts").cast("timestamp").alias("ts"))
