@@ -1,11 +1,12 @@
 """Personal data in texts by weak supervision, with DataFrame operations only.
 
 Candidates are the matches of the four base patterns, valid or not, and of looser forms (a telephone
-number without a plus sign, a spelled-out mail address). Four labelers vote on each: the base rule, its
-shape, a gazetteer and the words before it. Expectation-maximisation over the counts of vote patterns,
-a table of at most 81 rows a kind that Spark sums over all documents, estimates how reliable each
-labeler is; its posteriors train a logistic classifier of spans on the counts of feature patterns.
-Valid base matches always stay; the classifier adds others that don't overlap them.
+number without a plus sign, a spelled-out mail address). Four labelers vote on each: the base rule, which
+abstains on looser forms, its shape, a gazetteer and the words before it. Expectation-maximisation over
+the counts of vote patterns, a table of bounded size that Spark sums over all documents, estimates how
+reliable the other labelers are where they vote; its posteriors train a logistic classifier of spans on the counts
+of feature patterns, in which every form (valid, broken, loose) weighs the same. Valid base matches always
+stay; the classifier adds others that don't overlap them.
 
 Matches are leftmost and don't overlap within a kind. Patterns use possessive repeats and start only at
 the border of a run, which finds the same matches and takes linear time on long runs. Positions are code
@@ -34,7 +35,7 @@ BASE = {
 }
 LOOSE = {
     "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9_-]{0,40}+ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,40}+ ?[\[(] ?dot ?[\])] ?[A-Za-z]{2,10}+",
-    "phone": r"(?<![0-9+])(?:\([0-9]{3}\) |[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9+(])(?<!\+[0-9]{1,3}[ .-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
 #: what a text must hold for a pattern to be tried
 GUARDS = {"email": ("@",), "ip": (".",), "card": (), "phone": ("+",)}
@@ -43,17 +44,24 @@ CONTEXT = 40
 #: probability from which the classifier adds a span
 ACCEPT = 0.9
 VOTES = ("v_rule", "v_shape", "v_known", "v_context")
+#: how far a vote moves the first guess of its candidate, before reliabilities are known
+FIRST = (0.45, 0.1, 0.1, 0.2)
+#: belief before the data, P(yes given personal) and P(yes given other). The base rule is a definition (a check
+#: digit, a range) and keeps it; the others' counts as a share of their votes and yields to the data
+RULE, OTHERS, SHARE = (0.99, 0.02), (0.8, 0.2), 0.05
+#: what the classifier sees of a span
+FEATURES = ("broken", "loose", "v_known", "cue", "against", "edge", "size")
 
 # fixed values: endings of host names, country codes and cue words
 ENDINGS = ("com", "org", "net", "edu", "gov", "io", "info", "biz", "de", "fr", "es", "uk", "us", "eu", "ch", "at", "it", "nl", "jp", "cn", "in", "br", "ca", "au")
 COUNTRIES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "98")
 CUES = {
-    "email": "mail|contact|write|reach|kontakt|courriel|correo",
+    "email": "e?mail|contact|write|reach|kontakt|courriel|correo",
     "ip": "address|host|server|client|login|from ip|adresse",
     "card": "card|visa|credit|payment|account|karte|carte|tarjeta",
     "phone": "phone|call|tel|mobile|fax|contact|telefon|llame",
 }
-AGAINST = "version|release|isbn|serial|order|invoice|ticket|build|id[ :#]"
+AGAINST = r"\b(?:version|release|isbn|serial|order|invoice|ticket|build|id)s?\b"
 
 
 def _matches(text: Column, kind: str, loose: bool) -> Column:
@@ -96,60 +104,76 @@ def _vote(good: Column, bad: Column) -> Column:
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """One row per candidate: (k, kind, loose, start, end, valid, votes, size), identical rows once."""
+    """One row per candidate: (k, kind, start, end, valid, votes, features), identical rows once."""
     lists = found.where(F.size("lists") > 0).dropDuplicates(["k"]).select("k", F.posexplode("lists").alias("at", "list"))
     each = lists.select("k", "at", F.posexplode("list").alias("i", "c")).select("k", "at", "i", "c.*")
     order = Window.partitionBy("k", "at").orderBy("i")
     n = F.length("m")
     each = each.withColumn("end", F.sum(F.col("gap") + n).over(order)).withColumn("start", F.col("end") - n)
     digits = F.regexp_replace("m", "[^0-9]", "")
+    # a run with too few or too many digits is no card or number, nor a case to learn from
+    count = F.length(F.regexp_replace("m", "[^0-9]", ""))
+    each = each.where(F.when(F.col("kind") == 2, count.between(16, 19)).when(F.col("kind") == 3, count.between(8, 15)).otherwise(True))
     parts = F.transform(F.split("m", r"\."), lambda p: F.regexp_replace(p, "^0+(?=[0-9])", ""))
     is_ip, count = F.col("kind") == 1, F.length(digits)
     small = F.forall(parts, lambda p: (F.length(p) <= 3) & (F.when(F.length(p) <= 3, p).cast("int") <= 255))
     card = F.when(count.between(16, 19), _luhn(digits)).otherwise(False)
     valid = ~F.col("loose") & F.when(F.col("kind") == 0, True).when(is_ip, F.coalesce(small, F.lit(False))).when(F.col("kind") == 2, card).otherwise(count.between(8, 15))
     ending = F.lower(F.regexp_extract("m", r"([A-Za-z]+)$", 1))
+    # an area code and an exchange never start with 0 or 1
+    area = F.regexp_replace("m", "[^0-9]", "").rlike("^[2-9][0-9]{2}[2-9]")
+    even = F.col("m").rlike(r"^\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}$|^[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}$")
+    loose = F.col("loose")
     code = F.coalesce(*[F.when(F.col("m").startswith(f"+{c}"), True) for c in COUNTRIES], F.lit(False))
     of_kind = lambda values: F.when(F.col("kind") == 0, values[0]).when(is_ip, values[1]).when(F.col("kind") == 2, values[2]).otherwise(values[3])
     shape = of_kind([
         _vote(F.length(ending).between(2, 10) & (n <= 80), F.length(ending) == 0),
         _vote((n <= 15) & ~F.col("m").rlike(r"(^|\.)0[0-9]"), n > 15),
-        _vote((count == 16) & F.col("m").rlike("^[2-6]"), (count < 13) | (count > 19)),
-        _vote(count.between(10, 13), (count < 7) | (count > 15)),
+        _vote((count == 16) & F.col("m").rlike("^[2-6]"), count > 16),
+        F.when(loose, _vote(even, F.lit(False))).otherwise(_vote(count.between(10, 13), count < 10)),
     ])
     known = of_kind([
         _vote(ending.isin(*ENDINGS), F.lit(False)),
         _vote(~F.col("m").rlike(r"^(0|255)\."), F.col("m").rlike(r"^0\.")),
         _vote(F.col("m").rlike("^(4|5[1-5]|2[2-7]|3[47]|6)"), F.col("m").rlike("^[01789]")),
-        _vote(code, F.lit(False)),
+        F.when(loose, _vote(area, ~area)).otherwise(_vote(code, F.lit(False))),
     ])
-    cue = of_kind([F.col("before").rlike(CUES[k]) for k in KINDS])
-    each = each.withColumns({"valid": valid, "v_rule": _vote(valid, ~valid), "v_shape": shape, "v_known": known, "v_context": _vote(cue, F.col("before").rlike(AGAINST))})
-    size = F.least(F.floor(n / 8), F.lit(4)).cast("int")
-    return each.select("k", "kind", "loose", "start", "end", "valid", *VOTES, size.alias("size"))
-
-
-def reliabilities(patterns: list[tuple], rounds: int = 50) -> tuple[float, list[dict[int, tuple[float, float]]], list[float]]:
-    """Prior, per labeler {vote: (P given personal, P given other)}, and the posterior of each pattern.
-
-    ``patterns``: (votes, count). Starts from the vote sums; every count gets a smoothing of 0.5.
+    cue = of_kind([F.col("before").rlike(rf"\b(?:{CUES[k]})") for k in KINDS])
+    against = F.col("before").rlike(AGAINST)
+    each = each.withColumns({
+        "valid": valid, "v_rule": F.when(loose, 0).otherwise(_vote(valid, ~valid)), "v_shape": shape, "v_known": known, "v_context": _vote(cue & ~against, against & ~cue),
+        "broken": (~loose & ~valid).cast("int"), "loose": loose.cast("int"), "cue": cue.cast("int"), "against": against.cast("int"), "edge": F.col("before").rlike(r"(^|[\s(:,;<\"'=])$").cast("int"),
+        "size": F.least(F.floor(n / 8), F.lit(4)).cast("int"),
+    })
+    return each.select("k", "kind", "start", "end", "valid", *VOTES, *[c for c in FEATURES if c not in VOTES])
+
+
+def reliabilities(patterns: list[tuple], rounds: int = 100) -> tuple[dict[int, float], list[dict[int, tuple[float, float]]], list[float]]:
+    """Prior by form, per labeler {vote: (P given personal, P given other)}, and each pattern's posterior.
+
+    ``patterns``: (votes, count). An abstaining labeler (vote 0) says nothing. Reliabilities are shared by
+    the forms, which the rule's vote names (1 valid, -1 broken, 0 loose); each form has its own share of
+    personal spans.
     """
-    post = [min(0.95, max(0.05, 0.5 + 0.2 * sum(v))) for v, _ in patterns]
-    prior, tables = 0.5, []
+    post = [min(0.95, max(0.05, 0.5 + sum(w * x for w, x in zip(FIRST, v)))) for v, _ in patterns]
+    prior, tables = {}, []
     for _ in range(rounds):
-        total = sum(c for _, c in patterns)
-        yes = sum(p * c for p, (_, c) in zip(post, patterns))
-        prior = (yes + 0.5) / (total + 1)
-        tables = []
-        for k in range(len(VOTES)):
-            table = {}
-            for vote in (-1, 0, 1):
-                own = [(p, c) for p, (v, c) in zip(post, patterns) if v[k] == vote]
-                table[vote] = (sum(p * c for p, c in own) + 0.5) / (yes + 1.5), (sum((1 - p) * c for p, c in own) + 0.5) / (total - yes + 1.5)
-            tables.append(table)
+        for form in {v[0] for v, _ in patterns}:
+            own = [(p, c) for p, (v, c) in zip(post, patterns) if v[0] == form]
+            prior[form] = (sum(p * c for p, c in own) + 1) / (sum(c for _, c in own) + 2)
+        tables = [{1: RULE, -1: (1 - RULE[0], 1 - RULE[1])}]
+        for k in range(1, len(VOTES)):
+            weight = 1 + SHARE * sum(c for v, c in patterns if v[k])
+            mass = {1: [weight * p for p in OTHERS], -1: [weight * (1 - p) for p in OTHERS]}
+            for p, (v, c) in zip(post, patterns):
+                if v[k]:
+                    mass[v[k]][0] += p * c
+                    mass[v[k]][1] += (1 - p) * c
+            total = [mass[-1][side] + mass[1][side] for side in (0, 1)]
+            tables.append({vote: (m[0] / total[0], m[1] / total[1]) for vote, m in mass.items()})
         new = []
         for v, _ in patterns:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(t[x][0] / t[x][1]) for t, x in zip(tables, v))
+            odds = math.log(prior[v[0]] / (1 - prior[v[0]])) + sum(math.log(t[x][0] / t[x][1]) for t, x in zip(tables, v) if x)
             new.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
         if max((abs(a - b) for a, b in zip(new, post)), default=0) < 1e-6:
             break
@@ -159,50 +183,58 @@ def reliabilities(patterns: list[tuple], rounds: int = 50) -> tuple[float, list[
 
 @dataclass
 class Classifier:
-    """Logistic weights per kind over votes, looseness, length and bias."""
+    """Logistic weights per kind over a bias and ``FEATURES``."""
 
     weights: dict[int, list[float]] = field(default_factory=dict)
 
-    @staticmethod
-    def inputs(votes, loose: bool, size: int) -> list[float]:
-        return [1.0, *map(float, votes), float(loose), size / 4]
-
     def probability(self) -> Column:
         out = F.lit(0.0)
         for kind, w in self.weights.items():
             z = F.lit(w[0])
-            for column, weight in zip([*VOTES, "loose", "size"], [*w[1:-1], w[-1] / 4]):
+            for column, weight in zip(FEATURES, w[1:]):
                 z = z + F.col(column).cast("double") * F.lit(weight)
             out = F.when(F.col("kind") == kind, 1 / (1 + F.exp(-z))).otherwise(out)
         return out
 
 
-def train(each: DataFrame, steps: int = 400, rate: float = 0.5) -> Classifier:
+def fitted(rows: list[tuple], steps: int = 3000, rate: float = 0.5) -> list[float]:
+    """Weights of one kind from (features, posterior, count); valid, broken and loose rows weigh the same."""
+    totals: dict[tuple, int] = {}
+    for x, _, c in rows:
+        totals[x[:2]] = totals.get(x[:2], 0) + c
+    data = [((1.0, *map(float, x)), y, c / totals[x[:2]] / len(totals)) for x, y, c in rows]
+    w = [0.0] * (len(FEATURES) + 1)
+    for _ in range(steps):
+        grad = [0.0] * len(w)
+        for x, y, c in data:
+            off = c * (1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, x)))))) - y)
+            for k, v in enumerate(x):
+                grad[k] += off * v
+        w = [a - rate * (g + 1e-4 * a * (k > 0)) for k, (a, g) in enumerate(zip(w, grad))]
+    return w
+
+
+def train(each: DataFrame) -> Classifier:
     """Estimates the labelers of each kind and fits its classifier on counts of feature patterns."""
-    rows = each.groupBy("kind", "loose", "size", *VOTES).count().orderBy("kind", "loose", "size", *VOTES).collect()
+    columns = list(dict.fromkeys(["kind", *FEATURES, *VOTES]))
+    rows = each.groupBy(*columns).count().orderBy(*columns).collect()
     model = Classifier()
     for kind in range(len(KINDS)):
         own = [r for r in rows if r["kind"] == kind]
         if not own:
             continue
-        by_votes: dict[tuple, int] = {}
-        for r in own:
-            v = tuple(r[c] for c in VOTES)
-            by_votes[v] = by_votes.get(v, 0) + r["count"]
-        patterns = sorted(by_votes.items())
-        _, _, post = reliabilities(patterns)
-        target = {v: p for (v, _), p in zip(patterns, post)}
-        data = [(model.inputs([r[c] for c in VOTES], r["loose"], r["size"]), target[tuple(r[c] for c in VOTES)], r["count"]) for r in own]
-        total = sum(c for _, _, c in data)
-        w = [0.0] * len(data[0][0])
-        for _ in range(steps):
-            grad = [0.0] * len(w)
-            for x, y, c in data:
-                p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, x))))))
-                for k, v in enumerate(x):
-                    grad[k] += c * (p - y) * v / total
-            w = [a - rate * (g + 1e-3 * a * (k > 0)) for k, (a, g) in enumerate(zip(w, grad))]
-        model.weights[kind] = w
+        seen = [tuple(r[c] for c in VOTES) for r in own]
+        counts: dict[tuple, int] = {}
+        for pattern, r in zip(seen, own):
+            counts[pattern] = counts.get(pattern, 0) + r["count"]
+        patterns = sorted(counts.items())
+        target = {pattern: p for (pattern, _), p in zip(patterns, reliabilities(patterns)[2])}
+        features: dict[tuple, list[float]] = {}
+        for pattern, r in zip(seen, own):
+            sums = features.setdefault(tuple(r[c] for c in FEATURES), [0.0, 0])
+            sums[0] += target[pattern] * r["count"]
+            sums[1] += r["count"]
+        model.weights[kind] = fitted([(x, y / c, c) for x, (y, c) in sorted(features.items())])
     return model
 
 

@@ -196,6 +196,46 @@ def test_personal_data(spark, awkward, nothing):
     assert sorted(as_rows(pii.mask(text))) == [(1, "mail me: <email> or <phone> now"), (2, None)]
 
 
+def test_added_spans(spark):
+    """Loose spans after cues are added, decoys and wrong cards are not."""
+    r = random.Random(5)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    area = lambda: r.choice("23456789") + digits(2)
+    rows, want, decoys = [], {}, {}
+
+    def plant(into, kind, before, span, after=" and so on"):
+        k = len(rows)
+        text = f"words about nothing much {before} {span}{after}"
+        rows.append((k, text))
+        into[k] = f"{kind}:{text.index(span)}:{text.index(span) + len(span)}"
+
+    for i in range(60):
+        rows.append((len(rows), f"some text +1 ({area()}) 555-{digits(4)} and mail{i}@example.com go on"))
+        plant(want, "phone", r.choice(["call me at", "my phone is", "tel."]), r.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}"]).format(area(), area(), digits(4)))
+        plant(want, "email", r.choice(["write to", "contact"]), f"name{i} [at] example [dot] com")
+        plant(decoys, "phone", r.choice(["order", "serial number", "invoice", "ticket"]), f"{r.choice('01')}{digits(2)}-{area()}-{digits(4)}")
+        card = "4" + digits(15)
+        while luhn(card):
+            card = "4" + digits(15)
+        plant(decoys, "card", r.choice(["", "order", "my card"]), card)
+        good = "5" + digits(14)
+        rows.append((len(rows), "paid with " + next(good + c for c in "0123456789" if luhn(good + c))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["spans"].split(",") for x in pii.find(docs).collect()}
+    assert sum(s in got[k] for k, s in want.items()) >= 0.95 * len(want)
+    assert sum(s in got[k] for k, s in decoys.items()) == 0
+    each = pii.spans(pii.candidates(docs))
+    scored = each.withColumn("p", pii.train(each).probability())
+    assert scored.where("kind = 2 and broken = 1").agg({"p": "max"}).first()[0] < 0.5
+
+
+def test_labelers_that_abstain_say_nothing():
+    patterns = [((1, 1, 1, 0), 90), ((-1, 1, 1, 0), 30), ((0, 1, 1, 1), 20), ((0, 1, -1, -1), 20)]
+    prior, tables, post = pii.reliabilities(patterns)
+    assert post[0] > 0.95 and post[1] < 0.1 and post[2] > 0.9 and post[3] < 0.1
+    assert tables[2][1][0] > tables[2][1][1] and 0.3 < prior[0] < 0.7
+
+
 def test_shards(spark, awkward, nothing):
     limit = 2_000
     rows = sharding.assign(awkward, limit=limit).collect()
